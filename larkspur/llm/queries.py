@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import decontaminate, mixing, ngramjoin, substrings
-from larkspur.llm.shared import ship
+from larkspur.llm import decontaminate, htmltext, langid, lmscore, media, mixing, ngramjoin, quality, substrings, toxicity
+from larkspur.llm.shared import prepare
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _on(*tables: str, run: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
+        prepare(spark)
         return run(*(_table(spark, sf_dir, t) for t in tables))
 
     return query
@@ -24,10 +24,16 @@ def _on(*tables: str, run: Callable[..., DataFrame]) -> Callable[[SparkSession,
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": _on("documents", run=langid.languages),
         "op2_ngram_jaccard_join": _on("documents", run=ngramjoin.ngram_join),
         "op3_mixing": _on("documents", run=mixing.mix_documents),
+        "op4_media": _on("documents", run=media.media_digests),
+        "op5_quality": _on("documents", "labels", run=quality.quality_scores),
         "op6_decontamination": _on("documents", "benchmark", run=decontaminate.contamination),
+        "op7_html_text": _on("pages", run=htmltext.page_texts),
+        "op8_lm_scoring": _on("documents", run=lmscore.model_scores),
         "op9_substring_dedup": _on("documents", run=substrings.substring_dedup),
+        "op10_toxicity": _on("documents", "labels", run=toxicity.toxicity_scores),
     }
 
 

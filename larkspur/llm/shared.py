@@ -79,6 +79,12 @@ def map_array(uri: str, dtype: type) -> np.ndarray:
         return np.memmap(local, dtype, "r") if local.tell() else np.zeros(0, dtype)
 
 
+def prepare(spark: SparkSession) -> None:
+    """Session settings of these operators: Arrow batches of few rows, as one text may be long."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors where their Python would not find it."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -3,6 +3,8 @@
 Nodes are (window - 1)-grams, edges are windows of `window` words. An edge is repeated if documents with different ids
 hold it. Steps:
 
+0. Copies: of documents with equal texts, those with a larger id are removed whole if they hold a window, and leave the
+   graph: the copy with the smallest id has all their edges.
 1. Candidates: each window's minimizer (least hash of its 6-grams) is counted over all documents; a window can be repeated
    only if its minimizer is. The repeated minimizers go into a bitmap of bounded size, so that later steps move only
    windows that may be repeated. This drops nothing: equal windows have equal minimizers.
@@ -58,9 +60,22 @@ def _windows(column: pa.Array, window: int) -> Iterator[tuple]:
             yield row, w, at, K.mix(_minimizers(w.hashes, window)[at], 77)
 
 
-def _count_minimizers(window: int):
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, two hashes of the text) of each row."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch["id"], *(pa.array(K.text_hashes(batch["text"], lane).view(np.int64)) for lane in (0, 1))], names=["id", "h", "g"])
+
+
+def _firsts(bitmap: str, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows that may be the first copy of their text: all that are, hardly any that are not."""
+    keys = _row_hash(K.longs(batch["id"]), K.text_hashes(batch["text"]))
+    return batch.filter(pa.array(in_bitmap(bitmap, keys)))
+
+
+def _count_minimizers(window: int, firsts: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = _firsts(firsts, batch)
             for row, w, at, m in _windows(batch["text"], window):
                 doc = w.doc()[at]
                 new = np.ones(len(m), bool)
@@ -79,9 +94,14 @@ def _id_hash(ids: np.ndarray) -> np.ndarray:
     return K.mix(ids.view(np.uint64), 5)
 
 
-def _edges(window: int, bitmap: str):
+def _row_hash(ids: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    return K.mix(_id_hash(ids) ^ texts, 6)
+
+
+def _edges(window: int, bitmap: str, firsts: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = _firsts(firsts, batch)
             ids, tags = K.longs(batch["id"]), K.text_hashes(batch["text"]) >> np.uint64(32)
             for row, w, at, m in _windows(batch["text"], window):
                 at = at[in_bitmap(bitmap, m)]
@@ -114,9 +134,11 @@ _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source
 def _finish(window: int, keep_text: bool):
     """Rows (id, text, hits or none) to results."""
 
-    def one(text: bytes, hits: list | None) -> tuple:
+    def one(text: bytes, hits: list | None, copy_of: int | None) -> tuple:
         words = text.split()
         n = len(words)
+        if copy_of is not None and n >= window:
+            return n, n, hashlib.sha256(b"").hexdigest(), "" if keep_text else None, [{"start": 0, "end": n, "source": copy_of, "source_start": 0}]
         spans = _spans([(h["pos"], h["src"], h["at"]) for h in hits], window) if hits else []
         if spans:
             x = np.array(spans, np.int64)
@@ -130,7 +152,7 @@ def _finish(window: int, keep_text: bool):
             texts = batch["text"].fill_null("").cast(pa.binary())
             for i in range(0, len(texts), 256):
                 part = range(i, min(i + 256, len(texts)))
-                rows = [one(texts[k].as_py(), batch["hits"][k].as_py() if "hits" in batch.schema.names else None) for k in part]
+                rows = [one(texts[k].as_py(), *((batch["hits"][k].as_py(), batch["copy_of"][k].as_py()) if "hits" in batch.schema.names else (None, None))) for k in part]
                 cols = list(zip(*rows, strict=True))
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), _SPAN)
                 yield pa.RecordBatch.from_arrays([batch["id"].slice(i, len(part)), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["id", "n_words", "n_removed", "kept_sha256", "kept", "spans"])
@@ -152,38 +174,56 @@ def _route(bitmap: str, wanted: bool):
     return run
 
 
-def repeated_spans(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, tag, pos, src, at) of each window whose words start in a document with a smaller id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
-    counted = rows.select("text").mapInArrow(_count_minimizers(window), "m long, c long")
-    seen = materialize(counted.groupBy("m").agg(F.sum("c").alias("c")).where("c > 1").select("m"), folder, "minimizers")
-    bitmap = write_bitmap(seen, "m", seen.count(), f"{folder}/minimizers.bits")
-    release(docs.sparkSession)
-    edges = rows.mapInArrow(_edges(window, bitmap), "a long, b long, id long, tag long")
-    source = edges.groupBy("a", "b").agg(F.min("id").alias("src"), F.min_by("tag", "id").alias("at"), F.max("id").alias("last")).where("last > src").drop("last")
-    hits = edges.join(source, ["a", "b"]).where("src < id").select("id", F.shiftrightunsigned("tag", 32).alias("tag"), F.col("tag").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), "src", F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at"))
-    hits = materialize(hits, folder, "hits")
-    release(docs.sparkSession)
-    return hits
+def _write_rows(rows: DataFrame, function, folder: str, name: str) -> str:
+    keys = materialize(rows.mapInArrow(function, "h long"), folder, name)
+    return write_bitmap(keys, "h", keys.count(), f"{folder}/{name}.bits")
 
 
-def _hash_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_row_hash(K.longs(batch["id"]), K.longs(batch["h"]).view(np.uint64)).view(np.int64))], names=["h"])
+
+
+def _key_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([pa.array(_id_hash(K.longs(batch["id"])).view(np.int64))], names=["h"])
 
 
+def repeated_windows(rows: DataFrame, folder: str, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Of rows (id, text): copies (id, tag, copy_of), and (id, tag, pos, src, at) of each window of the other rows whose
+    words start in a document with a smaller id."""
+    spark = rows.sparkSession
+    rows = rows.where("id IS NOT NULL")
+    prints = materialize(rows.mapInArrow(_fingerprints, "id long, h long, g long"), folder, "prints")
+    first = materialize(prints.groupBy("h", "g").agg(F.min("id").alias("copy_of")), folder, "first")
+    tag = F.shiftrightunsigned("h", 32).alias("tag")
+    copies = prints.join(first, ["h", "g"]).where("copy_of < id").groupBy("id", tag).agg(F.min("copy_of").alias("copy_of"))
+    copies = materialize(copies, folder, "copies")
+    firsts = _write_rows(first.select(F.col("copy_of").alias("id"), "h"), _key_rows, folder, "firsts")
+    counted = rows.mapInArrow(_count_minimizers(window, firsts), "m long, c long")
+    seen = materialize(counted.groupBy("m").agg(F.sum("c").alias("c")).where("c > 1").select("m"), folder, "minimizers")
+    bitmap = write_bitmap(seen, "m", seen.count(), f"{folder}/minimizers.bits")
+    release(spark)
+    edges = rows.mapInArrow(_edges(window, bitmap, firsts), "a long, b long, id long, tag long")
+    source = edges.groupBy("a", "b").agg(F.min("id").alias("src"), F.min_by("tag", "id").alias("at"))
+    low = F.lit(0xFFFFFFFF)
+    hits = edges.join(source, ["a", "b"]).where("src < id").select("id", F.shiftrightunsigned("tag", 32).alias("tag"), F.col("tag").bitwiseAND(low).cast("int").alias("pos"), "src", F.col("at").bitwiseAND(low).cast("int").alias("at"))
+    hits = materialize(hits, folder, "hits")
+    release(spark)
+    return copies, hits
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = True) -> DataFrame:
     """id, n_words, n_removed, kept_sha256, kept (words joined by one space; null unless keep_text) and spans of every row."""
     folder = shared_dir(docs.sparkSession)
-    hits = repeated_spans(docs, folder, id_col, text_col, window)
-    touched = materialize(hits.select("id").distinct().mapInArrow(_hash_ids, "h long"), folder, "touched")
-    bitmap = write_bitmap(touched, "h", touched.count(), f"{folder}/touched.bits")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    copies, hits = repeated_windows(rows, folder, window)
+    touched = _write_rows(hits.select("id").union(copies.select("id")).distinct(), _key_ids, folder, "touched")
     # only documents that may have hits are shuffled with their texts
-    clean = rows.mapInArrow(_route(bitmap, False), "id long, text string, tag long").select("id", "text")
-    some = rows.mapInArrow(_route(bitmap, True), "id long, text string, tag long")
+    clean = rows.mapInArrow(_route(touched, False), "id long, text string, tag long").select("id", "text")
+    some = rows.mapInArrow(_route(touched, True), "id long, text string, tag long")
     by_doc = hits.groupBy("id", "tag").agg(F.collect_list(F.struct("pos", "src", "at")).alias("hits"))
-    some = some.join(by_doc, ["id", "tag"], "left").select("id", "text", "hits")
+    some = some.join(by_doc, ["id", "tag"], "left").join(copies, ["id", "tag"], "left").select("id", "text", "hits", "copy_of")
     return clean.mapInArrow(_finish(window, keep_text), RESULT).unionByName(some.mapInArrow(_finish(window, keep_text), RESULT))
 
 

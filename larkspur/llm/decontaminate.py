@@ -157,14 +157,59 @@ def _scan(blocks: list[Phrases]):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_benchmark_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
-    """docs' columns with n_words, n_hit, items (ids as sorted strings) and spans (word ranges to remove)."""
+def cut_text(blocks: list[Phrases], text: bytes) -> bytes:
+    """text without any phrase: spans are cut until none is left, also of phrases that a cut has brought together."""
+    while True:
+        buf = np.frombuffer(text, np.uint8)
+        offsets = np.array([0, len(buf)])
+        spans = _merge(*(np.array(x, np.int64) for x in (lambda s: ([y["start"] for y in s], [y["end"] for y in s]))([y for p in blocks for y in scan_shard(p, buf, offsets)[3][0]])))
+        if not spans:
+            return text
+        w = K.split_words(buf, offsets, K.ALNUM, lower=True)
+        parts, at = [], 0
+        for s in spans:
+            parts.append(text[at : w.starts[s["start"]]])
+            at = w.ends[s["end"] - 1]
+        text = b"".join([*parts, text[at:]])
+
+
+def _cut(blocks: list[Phrases], column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index(column)
+            for row, end, buf, offsets in K.chunks(batch[column], SHARD_BYTES):
+                part = batch.slice(row, end - row)
+                hit = np.zeros(end - row, bool)
+                for phrases in blocks:
+                    hit |= np.array(scan_shard(phrases, buf, offsets)[1]) > 0
+                if hit.any():
+                    texts = part[column].to_pylist()
+                    for k in np.flatnonzero(hit).tolist():
+                        texts[k] = cut_text(blocks, texts[k].encode()).decode()
+                    part = part.set_column(place, column, pa.array(texts, batch.schema.field(place).type))
+                yield part
+
+    return run
+
+
+def cut_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_benchmark_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
+    """docs with every occurrence of a benchmark phrase cut from text_col (a string column)."""
+    blocks = _phrases(benchmark, item_id, item_text, window, max_benchmark_bytes)
+    return docs.mapInArrow(_cut(blocks, text_col), docs.schema)
+
+
+def _phrases(benchmark: DataFrame, item_id: str, item_text: str, window: int, max_benchmark_bytes: int) -> list[Phrases]:
     tests = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > max_benchmark_bytes:
         raise ValueError(f"the benchmark holds {size} bytes; max_benchmark_bytes is {max_benchmark_bytes}")
     items = sorted((r.id, r.text) for r in tests.collect())
-    blocks = [Phrases(b, window) for b in _blocks(items, BLOCK_BYTES)]
+    return [Phrases(b, window) for b in _blocks(items, BLOCK_BYTES)]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_benchmark_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
+    """docs' columns with n_words, n_hit, items (ids as sorted strings) and spans (word ranges to remove)."""
+    blocks = _phrases(benchmark, item_id, item_text, window, max_benchmark_bytes)
     rows = docs.drop("n_words", "n_hit", "items", "spans").withColumn("_text", F.col(text_col).cast("string"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
     return rows.mapInArrow(_scan(blocks), f"{fields}, {RESULT}")

@@ -84,7 +84,7 @@ def band_keys(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _sets(n: int):
-    """(id, text) to (id, set hash, band keys)."""
+    """(id, tag, text) to (id, tag, set hash, band keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,8 +95,8 @@ def _sets(n: int):
                 bounds = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
                 mask = ~some
                 yield pa.RecordBatch.from_arrays(
-                    [batch["id"].slice(row, end - row), pa.array(set_hashes(grams, first).view(np.int64), mask=mask), pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.ravel().view(np.int64)))],
-                    names=["id", "set", "keys"],
+                    [batch["id"].slice(row, end - row), batch["tag"].slice(row, end - row), pa.array(set_hashes(grams, first).view(np.int64), mask=mask), pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.ravel().view(np.int64)))],
+                    names=["id", "tag", "set", "keys"],
                 )
 
     return run
@@ -213,10 +213,12 @@ def _verify(n: int, similarity: float):
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, similarity: float = SIMILARITY) -> DataFrame:
-    """id, class_id (least id of the component), n_links (other documents with similarity at or above the bound)."""
+    """id, tag (xxhash64 of the text), class_id (least id of the component), n_links (other documents with similarity at or
+    above the bound)."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = materialize(rows.mapInArrow(_sets(n), "id long, `set` long, keys array<long>"), folder, "sets")
+    tagged = rows.select("id", F.xxhash64("text").alias("tag"), "text")
+    sets = materialize(tagged.mapInArrow(_sets(n), "id long, tag long, `set` long, keys array<long>"), folder, "sets")
     real = sets.where("id IS NOT NULL AND `set` IS NOT NULL")
     classes = materialize(real.groupBy("set").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.any_value("keys").alias("keys")), folder, "classes")
     pairs = classes.select("set", F.explode("keys").alias("key"))
@@ -243,10 +245,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = info.groupBy("root").agg(F.min("rep").alias("class_id"))
     info = materialize(info.join(least, "root").select("set", "class_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links")), folder, "result")
     # copies of one text may be a third of all rows: the small side is unique by set, so Spark can split the large one
-    found = real.select("id", "set").join(info, "set").select("id", "class_id", "n_links")
-    return found.unionByName(sets.where("id IS NULL OR `set` IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    found = real.select("id", "tag", "set").join(info, "set").select("id", "tag", "class_id", "n_links")
+    return found.unionByName(sets.where("id IS NULL OR `set` IS NULL").select("id", "tag", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def ngram_join(documents: DataFrame) -> DataFrame:
     """The op2 result."""
-    return near_copies(documents).withColumnRenamed("id", "doc_id")
+    return near_copies(documents).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one document of each class: the one with the least id. Of rows with equal id and text one stays."""
+    found = materialize(near_copies(docs, id_col, text_col, n, similarity), shared_dir(docs.sparkSession), "classes")
+    found = found.withColumnsRenamed({"id": "_id", "tag": "_tag"})
+    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_tag": F.xxhash64(F.col(text_col).cast("string"))})
+    gone = found.where("_id != class_id").select("_id", "_tag").distinct()
+    twice = materialize(found.groupBy("_id", "_tag").count().where("count > 1 AND _id IS NOT NULL").select("_id", "_tag"), shared_dir(docs.sparkSession), "twice")
+    rows = rows.join(gone, ["_id", "_tag"], "left_anti")
+    once = rows.join(twice, ["_id", "_tag"], "left_anti")
+    return once.unionByName(rows.join(twice, ["_id", "_tag"], "left_semi").dropDuplicates(["_id", "_tag"])).drop("_id", "_tag").select(*docs.columns)

@@ -127,7 +127,7 @@ def _spans(hits: list[tuple[int, int, int]], window: int) -> list[tuple[int, int
     return sorted(zip(x[first, 0].tolist(), (x[last, 0] + window).tolist(), x[first, 1].tolist(), x[first, 2].tolist(), strict=True))
 
 
-RESULT = "id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start:long,end:long,source:long,source_start:long>>"
+RESULT = "n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start:long,end:long,source:long,source_start:long>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64())]))
 
 
@@ -155,21 +155,34 @@ def _finish(window: int, keep_text: bool):
                 rows = [one(texts[k].as_py(), *((batch["hits"][k].as_py(), batch["copy_of"][k].as_py()) if "hits" in batch.schema.names else (None, None))) for k in part]
                 cols = list(zip(*rows, strict=True))
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), _SPAN)
-                yield pa.RecordBatch.from_arrays([batch["id"].slice(i, len(part)), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["id", "n_words", "n_removed", "kept_sha256", "kept", "spans"])
+                carried = [c for c in batch.schema.names if c not in ("text", "tag", "hits", "copy_of")]
+                yield pa.RecordBatch.from_arrays([*(batch[c].slice(i, len(part)) for c in carried), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*carried, "n_words", "n_removed", "kept_sha256", "kept", "spans"])
 
     return run
 
 
-def _route(bitmap: str, wanted: bool):
-    """Rows whose id may have hits (with the text's tag), or the others."""
+def _may_hit(bitmap: str, batch: pa.RecordBatch) -> np.ndarray:
+    return in_bitmap(bitmap, _id_hash(K.longs(batch["id"]))) & batch["id"].is_valid().to_numpy(zero_copy_only=False)
+
+
+def _untouched(bitmap: str, window: int, keep_text: bool):
+    """Results of the rows whose id has no hits."""
+    finish = _finish(window, keep_text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from finish(batch.filter(pa.array(~_may_hit(bitmap, batch))) for batch in batches)
+
+    return run
+
+
+def _touched(bitmap: str):
+    """Rows whose id may have hits, with the text's tag."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = batch["id"].is_valid().to_numpy(zero_copy_only=False)
-            some = in_bitmap(bitmap, _id_hash(K.longs(batch["id"]))) & known
-            part = batch.filter(pa.array(some == wanted))
+            part = batch.filter(pa.array(_may_hit(bitmap, batch)))
             tags = (K.text_hashes(part["text"]) >> np.uint64(32)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([part["id"], part["text"], pa.array(tags)], names=["id", "text", "tag"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tags)], names=[*part.schema.names, "tag"])
 
     return run
 
@@ -213,23 +226,38 @@ def repeated_windows(rows: DataFrame, folder: str, window: int = WINDOW) -> tupl
     return copies, hits
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = True) -> DataFrame:
-    """id, n_words, n_removed, kept_sha256, kept (words joined by one space; null unless keep_text) and spans of every row."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id_col, the carried columns, n_words, n_removed, kept_sha256, kept (words joined by one space; null unless
+    keep_text) and spans of every row. Carried columns named like a result are refused."""
     folder = shared_dir(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    copies, hits = repeated_windows(rows, folder, window)
+    names = [f"c{k}" for k in range(len(carry))]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)))
+    copies, hits = repeated_windows(rows.select("id", "text"), folder, window)
     touched = _write_rows(hits.select("id").union(copies.select("id")).distinct(), _key_ids, folder, "touched")
     # only documents that may have hits are shuffled with their texts
-    clean = rows.mapInArrow(_route(touched, False), "id long, text string, tag long").select("id", "text")
-    some = rows.mapInArrow(_route(touched, True), "id long, text string, tag long")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    some = rows.mapInArrow(_touched(touched), f"{fields}, tag long")
     by_doc = hits.groupBy("id", "tag").agg(F.collect_list(F.struct("pos", "src", "at")).alias("hits"))
-    some = some.join(by_doc, ["id", "tag"], "left").join(copies, ["id", "tag"], "left").select("id", "text", "hits", "copy_of")
-    return clean.mapInArrow(_finish(window, keep_text), RESULT).unionByName(some.mapInArrow(_finish(window, keep_text), RESULT))
+    some = some.join(by_doc, ["id", "tag"], "left").join(copies, ["id", "tag"], "left").select("id", "text", *names, "hits", "copy_of")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    out = rows.mapInArrow(_untouched(touched, window, keep_text), f"{fields}, {RESULT}").unionByName(some.mapInArrow(_finish(window, keep_text), f"{fields}, {RESULT}"))
+    if clash := {id_col, *carry} & {f for f in out.columns if f not in ("id", *names)}:
+        raise ValueError(f"columns named like results: {sorted(clash)}")
+    return out.withColumnsRenamed({"id": id_col} | dict(zip(names, carry, strict=True)))
+
+
+def remove_from_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """docs with repeated spans cut from the text; texts that lose nothing stay as they are."""
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    safe = docs.withColumnsRenamed({c: f"k_{c}" for c in rest}).withColumn("k_", F.col(text_col))
+    out = remove_repeats(safe, id_col, text_col, window, True, (*(f"k_{c}" for c in rest), "k_"))
+    out = out.select(id_col, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("k_")).alias(text_col), *(F.col(f"k_{c}").alias(c) for c in rest))
+    return out.select(*docs.columns)
 
 
 def substring_dedup(documents: DataFrame) -> DataFrame:
     """The op9 digest."""
-    return remove_repeats(documents, keep_text=False).select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    return remove_repeats(documents, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 ORACLE_SQL = r"""

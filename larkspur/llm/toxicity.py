@@ -33,8 +33,8 @@ D, H = 8, 8  # sizes of each embedding, and of a direction's state
 INPUTS = 3 * D + 2
 DROPPED = 0.5  # embeddings left out in training
 THRESHOLD = 0.7
-CHUNK = 4 << 20
-ROWS = 8192  # windows scored at once
+CHUNK = 1 << 20
+ROWS = 4096  # windows scored at once
 BATCH, ROUNDS, EPOCHS, RATE = 128, 3, 3, 0.01
 INNER = (4, 5)  # bytes of grams anywhere in a word
 LEADING = (4, 5, 6, 7, 8, 9)  # of those at its start
@@ -323,29 +323,50 @@ def train(texts: pa.Array, y: np.ndarray) -> Network | None:
     return network
 
 
+def _scores(network: Network | None, share: float, texts: pa.Array) -> np.ndarray:
+    parts = [np.zeros(0)]
+    for _, _, buf, offsets in K.chunks(texts, CHUNK):
+        parts.append(network.score(buf, offsets) if network else share * (np.diff(K.split_words(buf, offsets, K.ALNUM).first) > 0))
+    return np.concatenate(parts)
+
+
 def _score(network: Network | None, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [np.zeros(0)]
-            for _, _, buf, offsets in K.chunks(batch["text"], CHUNK):
-                parts.append(network.score(buf, offsets) if network else share * (np.diff(K.split_words(buf, offsets, K.ALNUM).first) > 0))
-            kept = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(np.concatenate(parts))], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["held_out"], pa.array(_scores(network, share, batch["text"]))], names=["id", "held_out", "score"])
 
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1, limit: int = LIMIT, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, held_out, score (0 to 1) and predicted of every row."""
+def _keep(network: Network | None, share: float, threshold: float, column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(network, share, batch[column]) < threshold))
+
+    return run
+
+
+def _fit(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, limit: int, id_col: str, text_col: str) -> tuple[Network | None, float]:
     sample = labelled_sample(docs, labels, label, folds, held_out, limit, id_col, text_col)
     y = sample["y"].to_numpy().astype(np.float64)
-    network = train(sample["text"].combine_chunks(), y)
+    return train(sample["text"].combine_chunks(), y), float(y.mean()) if len(y) else 0.0
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1, limit: int = LIMIT, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, held_out, score (0 to 1) and predicted of every row."""
+    model = _fit(docs, labels, label, folds, held_out, limit, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("id"), (fold(id_col, folds) == held_out).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(_score(network, float(y.mean()) if len(y) else 0.0), f"id {kind}, held_out boolean, score double")
+    out = rows.mapInArrow(_score(*model), f"id {kind}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).withColumnRenamed("id", id_col)
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1, limit: int = LIMIT, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose score reaches the threshold; text_col is a string column."""
+    model = _fit(docs, labels, label, folds, held_out, limit, id_col, text_col)
+    return docs.mapInArrow(_keep(*model, threshold, text_col), docs.schema)
+
+
 def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The op10 digest."""
     return score_toxicity(documents, labels)

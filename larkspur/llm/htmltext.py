@@ -3,8 +3,8 @@
 The parser's events are folded as they come into lines, one for each block of text, with the tags met since the line
 before. Elements that never hold the article (menus, page headers and footers, sidebars, notices, adverts, forms, scripts,
 styles, reader comments) are skipped, by tag, role, or a word of their class or id. Each line's ratio of characters to tags
-is smoothed with a Gaussian kernel; lines at or above the threshold (the mean less a share of the deviation, of at most the
-largest) form the content clusters. The region is the deepest container that holds all clustered text, an article or main
+is smoothed with a Gaussian kernel; lines at or above the threshold (the mean less half the deviation, six tenths of the
+mean at most) form the content clusters. The region is the deepest container that holds all clustered text, an article or main
 element ending the descent (of several articles, the one with most clustered text). Inside an article or main element every
 line is kept; elsewhere, lines in the clusters and their neighbours that are not mostly links.
 
@@ -159,7 +159,7 @@ def extract(html: str | None) -> str:
     if not lines:
         return ""
     ratio = smooth(np.array([len(t) / tags for t, tags, _, _ in lines]))
-    chosen = ratio >= min(ratio.max(), ratio.mean() - 0.5 * ratio.std())
+    chosen = ratio >= min(ratio.mean() - 0.5 * ratio.std(), 0.6 * ratio.mean())
     regions = parser.regions
 
     def path(region: int) -> list[int]:

@@ -284,6 +284,7 @@ def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def inspect_media(df: DataFrame, data_col: str, declared_col: str | None = None) -> DataFrame:
     """df with media_type, corrected and embedded (start, type, bytes) for a binary column."""
-    rows = df.drop("media_type", "corrected", "embedded").withColumns({"_data": F.col(data_col).cast("binary"), "_declared": F.col(declared_col).cast("string") if declared_col else F.lit(None).cast("string")})
+    rows = df.withColumns({"_data": F.col(data_col).cast("binary"), "_declared": F.col(declared_col).cast("string") if declared_col else F.lit(None).cast("string")})
+    rows = rows.drop("media_type", "corrected", "embedded")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("_data", "_declared"))
     return rows.mapInArrow(_inspect, f"{fields}, media_type string, corrected boolean, embedded array<struct<start:long,type:string,bytes:binary>>")

@@ -63,34 +63,34 @@ def route(capacity: dict, quotas: dict, max_repeat: int = MAX_REPEAT) -> dict:
     for level in range(1, max_repeat + 1):
         for root in capacity:
             while (room := level * capacity[root] - used[root]) > 0:
-                came, queue, end = {root: None}, deque([root]), None
-                while queue and end is None:
+                came, queue, end = {root: None}, deque([root]), ()
+                while queue and not end:
                     p = queue.popleft()
                     for s in p:
-                        if ("s", s) in came:
+                        if (0, s) in came:
                             continue
-                        came["s", s] = p
+                        came[0, s] = p
                         if left.get(s, 0) > 0:
-                            end = s
+                            end = (0, s)  # no pattern has a number in it
                             break
                         for q in by_source[s]:
                             if q not in came and flow[q, s] > 0:
-                                came[q] = ("s", s)
+                                came[q] = (0, s)
                                 queue.append(q)
-                if end is None:
+                if not end:
                     break
-                path, node = [], ("s", end)
+                path, node = [], end
                 while node is not None:
                     path.append(node)
                     node = came[node]
                 steps = list(zip(path[1::2], path[::2], strict=True))  # (pattern, source it gains)
                 back = [(path[i], path[i + 1][1]) for i in range(1, len(path) - 1, 2)]  # (pattern, source it loses)
-                amount = min([room, left[end], *(flow[q, s] for q, s in back)])
+                amount = min([room, left[end[1]], *(flow[q, s] for q, s in back)])
                 for p, s in steps:
                     flow[p, s[1]] += amount
                 for q, s in back:
                     flow[q, s] -= amount
-                left[end] -= amount
+                left[end[1]] -= amount
                 used[root] += amount
     return {k: v for k, v in flow.items() if v}
 

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm import kernel as K
@@ -111,14 +111,31 @@ def _edges(window: int, bitmap: str, firsts: str):
                 pos = at - w.first[doc - row]
                 a, b = K.ngram_hashes(w.hashes, window)[at], K.ngram_hashes(w.hashes, window, salt=0x5DEECE66D)[at]
                 tag = (tags[doc] << np.uint64(32) | pos.astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), b.view(np.int64), ids[doc], tag)], names=["a", "b", "id", "tag"])
+                # a window that a document repeats is one row; the last step finds its other places again
+                order = np.lexsort((pos, b, a, doc))
+                a, b, doc, tag = a[order], b[order], doc[order], tag[order]
+                new = np.ones(len(a), bool)
+                new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (doc[1:] != doc[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (a.view(np.int64), b.view(np.int64), ids[doc], tag)], names=["a", "b", "id", "tag"])
 
     return run
 
 
-def _spans(hits: list[tuple[int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
+def _everywhere(text: bytes, hits: np.ndarray, window: int) -> np.ndarray:
+    """hits (position, source id, source position) for every place in the text that holds the window of a hit."""
+    buf = np.frombuffer(text, np.uint8)
+    h = K.split_words(buf, np.array([0, len(buf)])).hashes
+    a, b = K.ngram_hashes(h, window), K.ngram_hashes(h, window, salt=0x5DEECE66D)
+    order = np.argsort(a[hits[:, 0]], kind="stable")
+    hits = hits[order]
+    known = a[hits[:, 0]]
+    at = np.minimum(np.searchsorted(known, a), len(known) - 1)
+    same = np.flatnonzero((known[at] == a) & (b[hits[at, 0]] == b))
+    return np.column_stack([same, hits[at[same], 1:]])
+
+
+def _spans(x: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
     """Runs of (position, source id, source position) in which both positions go up by one: (start, end, source, source start)."""
-    x = np.array(hits, np.int64).reshape(-1, 3)
     x = x[np.lexsort((x[:, 0], x[:, 0] - x[:, 2], x[:, 1]))]
     new = np.ones(len(x), bool)
     new[1:] = (x[1:, 1] != x[:-1, 1]) | (x[1:, 0] != x[:-1, 0] + 1) | (x[1:, 2] != x[:-1, 2] + 1)
@@ -134,12 +151,12 @@ _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source
 def _finish(window: int, keep_text: bool):
     """Rows (id, text, hits or none) to results."""
 
-    def one(text: bytes, hits: list | None, copy_of: int | None) -> tuple:
+    def one(text: bytes, hits: np.ndarray | None, copy_of: int | None) -> tuple:
         words = text.split()
         n = len(words)
         if copy_of is not None and n >= window:
             return n, n, hashlib.sha256(b"").hexdigest(), "" if keep_text else None, [{"start": 0, "end": n, "source": copy_of, "source_start": 0}]
-        spans = _spans([(h["pos"], h["src"], h["at"]) for h in hits], window) if hits else []
+        spans = _spans(_everywhere(text, hits, window), window) if hits is not None else []
         if spans:
             x = np.array(spans, np.int64)
             gone = K.cover(x[:, 0], x[:, 1] - x[:, 0], n)
@@ -150,9 +167,17 @@ def _finish(window: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch["text"].fill_null("").cast(pa.binary())
+            found: list[np.ndarray | None] = [None] * len(texts)
+            copies = [None] * len(texts)
+            if "hits" in batch.schema.names:
+                lists = batch["hits"]
+                places = np.column_stack([K.longs(lists.values.field(c)) for c in ("pos", "src", "at")])
+                bounds = lists.offsets.to_numpy()
+                found = [places[a:b] if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                copies = batch["copy_of"].to_pylist()
             for i in range(0, len(texts), 256):
                 part = range(i, min(i + 256, len(texts)))
-                rows = [one(texts[k].as_py(), *((batch["hits"][k].as_py(), batch["copy_of"][k].as_py()) if "hits" in batch.schema.names else (None, None))) for k in part]
+                rows = [one(texts[k].as_py(), found[k], copies[k]) for k in part]
                 cols = list(zip(*rows, strict=True))
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), _SPAN)
                 carried = [c for c in batch.schema.names if c not in ("text", "tag", "hits", "copy_of")]
@@ -246,6 +271,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.withColumnsRenamed({"id": id_col} | dict(zip(names, carry, strict=True)))
 
 
+def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The compacted graph: each maximal nonbranching path of repeated edges, by its source coordinates. Columns: source,
+    start, n_words, n_documents (rows that repeat the whole path).
+
+    A path ends wherever some document's span along that source begins or ends, as the graph branches there. The marks of
+    a source are distinct, so a window over them holds at most its document's length.
+    """
+    spans = remove_repeats(docs, id_col, text_col, window, keep_text=False).select(F.explode("spans").alias("s")).select(F.col("s.source").alias("source"), F.col("s.source_start").alias("first"), (F.col("s.source_start") + F.col("s.end") - F.col("s.start") - window + 1).alias("stop"))
+    spans = materialize(spans, shared_dir(docs.sparkSession), "spans")
+    marks = spans.select("source", F.explode(F.array("first", "stop")).alias("start")).distinct()
+    paths = marks.withColumn("next", F.lead("start").over(Window.partitionBy("source").orderBy("start"))).where("next IS NOT NULL")
+    held = paths.join(spans, "source").where("first <= start AND next <= stop")
+    return held.groupBy("source", "start", "next").agg(F.count("*").alias("n_documents")).select("source", "start", (F.col("next") - F.col("start") + window - 1).alias("n_words"), "n_documents")
+
+
 def remove_from_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with repeated spans cut from the text; texts that lose nothing stay as they are."""
     rest = [c for c in docs.columns if c not in (id_col, text_col)]

@@ -129,6 +129,15 @@ def test_substrings(docs, nothing):
     assert seen
 
 
+def test_repeated_paths(spark):
+    w = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(w)), (2, " ".join(["a", *w[10:40], "b"])), (3, " ".join(["c", *w[20:60]])), (4, "x y")]
+    rows = [(i, t, None, None, None) for i, t in rows]
+    got = sorted(tuple(r) for r in substrings.repeated_paths(frame(spark, rows)).collect())
+    # document 2 holds edges 10-27 of document 1, document 3 edges 20-47
+    assert got == [(1, 10, 22, 1), (1, 20, 20, 2), (1, 28, 32, 1)]
+
+
 def grams(t):
     w = words(t)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()

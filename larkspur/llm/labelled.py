@@ -1,11 +1,20 @@
-"""Folds by crc32 of the id, and bounded samples of labelled documents for training on the driver."""
+"""Folds by crc32 of the id, bounded samples of labelled documents, and training on them in one task."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import TypeVar
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.shared import release
+
+
+Model = TypeVar("Model")
+
 
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id's text modulo folds; a null id counts as an empty text."""
@@ -23,12 +32,29 @@ def bounded(rows: DataFrame, by: str, limit: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.col("id")), F.lit(1_000_000)) < share)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, limit: int, id_col: str = "doc_id", text_col: str = "text") -> pa.Table:
-    """(text, y) of about limit labelled documents of each class outside the held-out fold, ordered by id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, y) of about limit labelled documents of each class outside the held-out fold.
 
-    The sampled labels are bounded by limit, so they are broadcast; texts are never shuffled.
+    The sampled labels are bounded by limit, so they are broadcast; other texts are never shuffled.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("y"))
     known = bounded(known.where(fold("id", folds) != held_out), "y", limit)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    return rows.join(F.broadcast(known), "id").orderBy("id").select("text", "y").toArrow()
+    return rows.join(F.broadcast(known), "id")
+
+
+def fit_in_task(sample: DataFrame, fit: Callable[[pa.Table], Model]) -> Model:
+    """fit over a bounded sample, ordered by id and text, in one task: the driver gets the model alone, and a lost executor
+    costs one retry."""
+    kinds = [pa.int32() if f.dataType.typeName() == "integer" else pa.string() for f in sample.drop("id").schema]
+    empty = pa.table({name: pa.array([], kind) for name, kind in zip(sample.drop("id").columns, kinds, strict=True)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [pa.Table.from_batches([b]).drop_columns("id").cast(empty.schema) for b in batches]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.concat_tables([empty, *parts]).combine_chunks()))], pa.binary())], names=["model"])
+
+    got = sample.repartition(1).sortWithinPartitions("id", "text").mapInArrow(run, "model binary").collect()
+    model = pickle.loads(got[0].model) if got else fit(empty)
+    del got
+    release(sample.sparkSession)
+    return model

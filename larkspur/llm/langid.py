@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import kernel as K
-from larkspur.llm.labelled import bounded, fold
+from larkspur.llm.labelled import bounded, fit_in_task, fold
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 LIMIT = 500
@@ -244,8 +244,8 @@ def identify(docs: DataFrame, folds: int = 5, held_out: int = 0, limit: int = LI
     rows = docs.select(F.col(id_col).alias("id"), (fold(id_col, folds) == held_out).alias("held_out"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = rows.where("NOT held_out AND text IS NOT NULL AND lang IS NOT NULL")
     chosen = bounded(known.select("id", "lang"), "lang", limit).select("id").distinct()
-    sample = known.join(F.broadcast(chosen), "id").orderBy("id").select("text", "lang").toArrow()
-    model = train(sample, path)
+    sample = known.join(F.broadcast(chosen), "id").select("id", "text", "lang")
+    model = fit_in_task(sample, lambda t: train(t, path))
     kind = rows.schema["id"].dataType.simpleString()
     theta = model.theta.astype(np.float32).astype(np.float64)
     out = rows.select("id", "held_out", "text").mapInArrow(_predict(model.langs, model.pieces, theta), f"id {kind}, held_out boolean, lang_pred string, score double")

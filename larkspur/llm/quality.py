@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import kernel as K
-from larkspur.llm.labelled import fold, labelled_sample
+from larkspur.llm.labelled import fit_in_task, fold, labelled_sample
 
 BITS = 20
 LIMIT = 6000
@@ -87,7 +87,7 @@ def train(texts: pa.Array, y: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
                 u, c = np.unique(grams[first[d] : first[d + 1]], return_counts=True)
                 index.append(u)
                 value.append(c / max(c.sum(), 1))
-            rows.append((np.concatenate(index), np.concatenate(value)))
+            rows.append((np.concatenate(index).astype(np.int32), np.concatenate(value).astype(np.float32)))
 
     def weights(i: np.ndarray | slice) -> np.ndarray:
         return -np.sign(z[i]) * np.maximum(np.abs(z[i]) - L1, 0) / ((BETA + np.sqrt(n[i])) / ALPHA + L2)
@@ -108,6 +108,10 @@ def train(texts: pa.Array, y: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
     return out
 
 
+def _fit(sample: pa.Table) -> np.ndarray:
+    return train(sample["text"].combine_chunks(), sample["y"].to_numpy().astype(np.float64))
+
+
 def scores(weights: np.ndarray, texts: pa.Array) -> np.ndarray:
     out = [np.zeros(0)]
     for _, _, buf, offsets in K.chunks(texts):
@@ -133,8 +137,7 @@ def _score(weights: np.ndarray):
 
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held_out: int = 0, limit: int = LIMIT, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, held_out, score (0 to 1; higher: label 1 likelier) and predicted of every row."""
-    sample = labelled_sample(docs, labels, label, folds, held_out, limit, id_col, text_col)
-    weights = train(sample["text"].combine_chunks(), sample["y"].to_numpy().astype(np.float64))
+    weights = fit_in_task(labelled_sample(docs, labels, label, folds, held_out, limit, id_col, text_col), _fit)
     rows = docs.select(F.col(id_col).alias("id"), (fold(id_col, folds) == held_out).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(_score(weights), f"id {kind}, held_out boolean, score double")

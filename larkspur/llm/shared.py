@@ -12,17 +12,9 @@ import numpy as np
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspur.scratch import scratch_dir as shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's URI below spark.checkpoint.dir; where that is unset, as in tests, below a folder set here."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="larkspur-")
-        sc.setCheckpointDir(root)
-    if "://" not in root and not root.startswith("file:"):
-        root = "file://" + os.path.abspath(root)
-    return f"{root.rstrip('/')}/larkspur-{uuid.uuid4().hex}"
+__all__ = ["get_bytes", "map_array", "materialize", "prepare", "put_arrays", "put_bytes", "release", "shared_dir", "ship"]
 
 
 def materialize(df: DataFrame, folder: str, name: str) -> DataFrame:

@@ -24,18 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import kernel as K
-from larkspur.llm.labelled import fold, labelled_sample
+from larkspur.llm.labelled import fit_in_task, fold, labelled_sample
 
 LIMIT = 3000
-WINDOW, STRIDE = 32, 16
-BITS, TABLE_BITS = 20, 16  # of the buckets that are counted, and of those with an embedding
+WINDOW, STRIDE = 96, 48
+BITS, TABLE_BITS = 20, 15  # of the buckets that are counted, and of those with an embedding
 D, H = 8, 8  # sizes of each embedding, and of a direction's state
 INPUTS = 3 * D + 2
-DROPPED = 0.5  # embeddings left out in training
+DROPPED = 0.6  # embeddings left out in training
 THRESHOLD = 0.7
 CHUNK = 1 << 20
-ROWS = 4096  # windows scored at once
-BATCH, ROUNDS, EPOCHS, RATE = 128, 3, 3, 0.01
+ROWS = 2048  # windows scored at once
+BATCH, ROUNDS, EPOCHS, RATE = 128, 3, 2, 0.01
 INNER = (4, 5)  # bytes of grams anywhere in a word
 LEADING = (4, 5, 6, 7, 8, 9)  # of those at its start
 
@@ -59,7 +59,7 @@ def char_grams(w: K.Words, which: np.ndarray) -> list[tuple[np.ndarray, np.ndarr
             owner.append(own)
         owner = np.concatenate(owner)
         order = np.argsort(owner, kind="stable")
-        out.append(((np.concatenate(parts)[order] >> np.uint64(64 - BITS)).astype(np.int64), np.searchsorted(owner[order], np.arange(len(which) + 1))))
+        out.append(((np.concatenate(parts)[order] >> np.uint64(64 - BITS)).astype(np.int32), np.searchsorted(owner[order], np.arange(len(which) + 1)).astype(np.int32)))
     return out
 
 
@@ -69,10 +69,11 @@ class Vocabulary:
     def __init__(self, buf: np.ndarray, offsets: np.ndarray) -> None:
         w = K.split_words(buf, offsets, K.ALNUM, lower=True)
         self.first = w.first
-        hashes, at, self.word = np.unique(w.hashes, return_index=True, return_inverse=True)
-        bucket = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+        hashes, at, word = np.unique(w.hashes, return_index=True, return_inverse=True)
+        self.word = word.astype(np.int32)
+        bucket = (hashes >> np.uint64(64 - BITS)).astype(np.int32)
         #: words, inner grams, leading grams: buckets and bounds per distinct word
-        self.kinds = [(bucket, np.arange(len(bucket) + 1)), *char_grams(w, at)]
+        self.kinds = [(bucket, np.arange(len(bucket) + 1, dtype=np.int32)), *char_grams(w, at)]
 
     def some(self, u: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """The kinds of some distinct words."""
@@ -80,7 +81,7 @@ class Vocabulary:
         for buckets, bounds in self.kinds:
             size = bounds[u + 1] - bounds[u]
             end = np.cumsum(size)
-            out.append((buckets[np.arange(size.sum()) - np.repeat(end - size, size) + np.repeat(bounds[u], size)], np.concatenate([[0], end])))
+            out.append((buckets[np.arange(size.sum()) - np.repeat(end - size, size) + np.repeat(bounds[u], size)], np.concatenate([[0], end]).astype(np.int32)))
         return out
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,6 +121,18 @@ class Network:
         self.bx, self.bb, self.bu = r(INPUTS, 3 * H), np.zeros(3 * H, np.float32), r(H, 3 * H)
         self.v, self.w, self.c = r(2 * H), r(2 * H), np.full(1, -1, np.float32)
 
+    def __getstate__(self) -> dict:
+        """Small enough to send: halved floats, and of the counted tables only what isn't 0."""
+        tables = [(at := np.flatnonzero(t).astype(np.int32), t[at].astype(np.float16)) for t in self.tables]
+        return self.__dict__ | {"tables": tables, "embeddings": [e.astype(np.float16) for e in self.embeddings]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.embeddings = [e.astype(np.float32) for e in self.embeddings]
+        self.tables = tuple(np.zeros(1 << BITS, np.float32) for _ in state["tables"])
+        for table, (at, value) in zip(self.tables, state["tables"], strict=True):
+            table[at] = value
+
     def inputs(self, kinds: list[tuple[np.ndarray, np.ndarray]], fixed: np.ndarray | None = None) -> np.ndarray:
         """Input of each distinct word."""
         if len(kinds[0][1]) < 2:
@@ -249,11 +262,11 @@ def _batches(vocabularies: list[Vocabulary], fixed: list[list[np.ndarray]], rows
             u, place = np.unique(vocabularies[v].word[start : start + length], return_inverse=True)
             parts.append(vocabularies[v].some(u))
             given.append(fixed[label][v][u])
-            words.append(np.pad(place + base, (0, WINDOW - length)))
+            words.append(np.pad(place + base, (0, WINDOW - length)).astype(np.int32))
             real.append(np.arange(WINDOW) < length)
             y.append(label)
             base += len(u)
-        kinds = [(np.concatenate([p[k][0] for p in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[k][1]) for p in parts]))])) for k in range(3)]
+        kinds = [(np.concatenate([p[k][0] for p in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[k][1]) for p in parts]))]).astype(np.int32)) for k in range(3)]
         y = np.array(y, np.float32)
         out.append((kinds, np.concatenate(given), np.array(words), np.array(real), y, np.where(y > 0, up, 1).astype(np.float32)))
     return out
@@ -273,7 +286,7 @@ def association(k1: np.ndarray, k0: np.ndarray, n1: float, n0: float) -> np.ndar
 def count_evidence(vocabularies: list[Vocabulary], labels: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Tables (words, characters) of association with label 1: over all documents, and as seen from a document of label 0
     or 1 that holds the bucket."""
-    seen, n = np.zeros((2, 2, 1 << BITS)), np.zeros(2)
+    seen, n = np.zeros((2, 2, 1 << BITS), np.float32), np.zeros(2)
     for v, y in zip(vocabularies, labels, strict=True):
         for d in range(len(v.first) - 1):
             k = int(y[d])
@@ -283,11 +296,17 @@ def count_evidence(vocabularies: list[Vocabulary], labels: list[np.ndarray]) ->
                 kinds = v.some(u)
                 seen[0, k, np.unique(kinds[0][0])] += 1
                 seen[1, k, np.unique(np.concatenate([kinds[1][0], kinds[2][0]]))] += 1
-    out = [tuple(association(t[1], t[0], n[1], n[0]) for t in seen)]
-    for label in (0, 1):
-        one = np.array([1 - label, label])
-        out.append(tuple(association(*np.maximum(t - one[:, None], 0)[::-1], *np.maximum(n - one, 1)[::-1]) for t in seen))
-    return out
+
+    def table(t: np.ndarray, without: np.ndarray) -> np.ndarray:
+        """Buckets never seen keep 0."""
+        at = np.flatnonzero(t.any(axis=0))
+        out = np.zeros(1 << BITS, np.float32)
+        k0, k1 = np.maximum(t[:, at].astype(np.float64) - without[:, None], 0)
+        n0, n1 = np.maximum(n - without, 1)
+        out[at] = association(k1, k0, n1, n0)
+        return out
+
+    return [tuple(table(t, np.array(without)) for t in seen) for without in ((0, 0), (1, 0), (0, 1))]
 
 
 def train(texts: pa.Array, y: np.ndarray) -> Network | None:
@@ -295,11 +314,12 @@ def train(texts: pa.Array, y: np.ndarray) -> Network | None:
         return None
     rng = np.random.default_rng(3)
     vocabularies, labels = [], []
-    for row, end, buf, offsets in K.chunks(texts):
+    for row, end, buf, offsets in K.chunks(texts, CHUNK):
         vocabularies.append(Vocabulary(buf, offsets))
         labels.append(y[row:end])
     tables, *apart = count_evidence(vocabularies, labels)
     fixed = [[evidence(t, v.kinds) if len(v.word) else np.zeros((0, 2)) for v in vocabularies] for t in apart]
+    del apart
     network = Network(tables)
     state: dict = {"t": 0}
     for turn in range(ROUNDS):
@@ -346,12 +366,15 @@ def _keep(network: Network | None, share: float, threshold: float, column: str):
     return run
 
 
-def _fit(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, limit: int, id_col: str, text_col: str) -> tuple[Network | None, float]:
-    sample = labelled_sample(docs, labels, label, folds, held_out, limit, id_col, text_col)
+def _train(sample: pa.Table) -> tuple[Network | None, float]:
     y = sample["y"].to_numpy().astype(np.float64)
     return train(sample["text"].combine_chunks(), y), float(y.mean()) if len(y) else 0.0
 
 
+def _fit(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, limit: int, id_col: str, text_col: str) -> tuple[Network | None, float]:
+    return fit_in_task(labelled_sample(docs, labels, label, folds, held_out, limit, id_col, text_col), _train)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1, limit: int = LIMIT, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, held_out, score (0 to 1) and predicted of every row."""
     model = _fit(docs, labels, label, folds, held_out, limit, id_col, text_col)

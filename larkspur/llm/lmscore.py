@@ -1,5 +1,5 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark, kept as sorted arrays in
-the shared folder and memory-mapped by the workers that score.
+"""Language-model scoring: an interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark, kept as sorted
+arrays in the shared folder and memory-mapped by the workers that score.
 
 Steps, all sizes following the corpus:
 
@@ -10,11 +10,16 @@ Steps, all sizes following the corpus:
    files, and files are in key order without sampling. Tasks send each file's sorted keys as blobs of byte planes.
 3. Each file's task merges its keys and counts; continuation counts of second words and counts of counts of first words
    are added up by vocabulary range.
-4. Scoring maps the arrays and looks up sorted keys.
+4. Order 3: a bigram's number is its place in the files. Trigrams are counted by key `bigram number * V + third`, in the
+file of their first two words: each file has its bigrams' third words in order, and their counts. Distinct words before
+each bigram then go to groups of bigram files, which add them up.
+5. Scoring maps the arrays and looks up sorted keys.
 
 p(w | v) = max(c(vw) - D(c(vw)), 0) / c(v) + g(v) p(w),   p(w) = max(a(w) - D'(a(w)), 0) / A + g' / (V + 1),
 a(w): distinct words before w, A: their sum, V: distinct training tokens. D and D' are the three modified Kneser-Ney
-discounts of their level.
+discounts of their level. At order 3, p(w | uv) = max(c(uvw) - D''(c(uvw)), 0) / c(uv) + g(uv) p(w | v), and in p(w | v)
+a(vw), the distinct words before vw, stands for c(vw), and their sum over w for c(v); where v is the start token, which
+nothing precedes, the counts stay. A text's first token has the start token alone as context.
 
 Edge cases: null and empty texts are one end token; without training documents every token has probability 1 / (V + 1) = 1;
 discounts that counts of counts leave undefined are set to half the count; unknown words and contexts back off; a null id
@@ -33,11 +38,13 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import kernel as K
 from larkspur.llm.labelled import fold
-from larkspur.llm.shared import map_array, materialize, put_arrays, release, shared_dir
+from larkspur.llm.shared import map_array, materialize, put_arrays, put_bytes, release, shared_dir
 
 CHUNK = 4 << 20
 VOCABULARY_ROWS = 1 << 18  # words of a vocabulary file, about
 FILE_TOKENS = 1 << 19  # tokens of a bigram file, about
+GROUP = 16  # bigram files whose continuation counts one task adds up
+MERGE = 1 << 22  # keys that are merged at once, about
 START, END = np.int64(1), np.int64(2)  # hashes of the start and end tokens
 
 _maps: dict[str, np.ndarray] = {}
@@ -51,6 +58,49 @@ def _map(uri: str, dtype: type) -> np.ndarray:
     return _maps[uri]
 
 
+def put_sections(uri: str, *arrays: np.ndarray) -> None:
+    """Several arrays as one file, each at a multiple of 8 bytes."""
+    data = [np.ascontiguousarray(x).tobytes() for x in arrays]
+    head = np.array([len(data), *map(len, data)], np.int64).tobytes()
+    put_bytes(uri, b"".join([head, *(x + bytes(-len(x) % 8) for x in data)]))
+
+
+def sections(uri: str, *dtypes: type) -> list[np.ndarray]:
+    raw = _map(uri, np.uint8)
+    sizes = raw[8 : 8 + 8 * len(dtypes)].view(np.int64).tolist()
+    out, at = [], 8 + 8 * len(dtypes)
+    for size, dtype in zip(sizes, dtypes, strict=True):
+        out.append(raw[at : at + size].view(dtype))
+        at += size + -size % 8
+    return out
+
+
+def small(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mostly small numbers as bytes; places and values of those above 254."""
+    over = np.flatnonzero(x > 254)
+    return np.minimum(x, 255).astype(np.uint8), np.concatenate([over, x[over]]).astype(np.int64)
+
+
+def small_at(x: np.ndarray, over: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+    out = x[at].astype(np.int64)
+    if len(over) and (full := np.flatnonzero(out == 255)).size:
+        places, values = over.reshape(2, -1)
+        out[full] = values[np.searchsorted(places, full if isinstance(at, slice) else at[full])]
+    return out
+
+
+def search(x: np.ndarray, low: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each wanted number the place in x[low:end], which is sorted; and where it is there."""
+    low, high = low.astype(np.int64), end.astype(np.int64)
+    while (some := np.flatnonzero(low < high)).size:
+        middle = (low[some] + high[some]) >> 1
+        less = x[middle] < wanted[some]
+        low[some[less]] = middle[less] + 1
+        high[some[~less]] = middle[~less]
+    hit = np.flatnonzero(low < end)
+    return low, hit[x[low[hit]] == wanted[hit]]
+
+
 def pack(x: np.ndarray, dtype: type = np.int64) -> bytes:
     """Byte planes: those of small numbers are zeros, which the shuffle's compression removes."""
     return np.ascontiguousarray(x.astype(dtype).view(np.uint8).reshape(len(x), -1).T).tobytes()
@@ -68,6 +118,17 @@ def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts[:0]
 
 
+def _merge_blobs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of a file's blobs; repeated keys are added up on the way."""
+    held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    for k, c in zip(t["k"], t["c"], strict=True):
+        held.append((np.cumsum(unpack(k.as_py())), unpack(c.as_py(), np.uint32).astype(np.int64)))
+        size += len(held[-1][0])
+        if size > MERGE:
+            held, size = [_merge(*map(np.concatenate, zip(*held, strict=True)))], 0
+    return _merge(*map(np.concatenate, zip(*held, strict=True)))
+
+
 def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each document's words and its end token, in order, and their bounds per document."""
     w = K.split_words(buf, offsets, K.NOT_SPACE, lower=True)
@@ -123,7 +184,11 @@ class Model:
     base: np.ndarray  # number of the first word of each vocabulary part, and the end
     base_tokens: np.ndarray  # tokens before each vocabulary part, start tokens included
     documents: int
+    order: int = 2
     files: int = 1
+    pair_base: np.ndarray = field(default_factory=lambda: np.zeros(2, np.int64))  # number of each file's first bigram, and the end
+    start: int = -1  # number of the start token
+    level3: list[float] = field(default_factory=list)
     level2: list[float] = field(default_factory=list)  # discounts D1, D2, D3+
     level1: list[float] = field(default_factory=list)
     pairs: int = 0  # distinct bigrams
@@ -171,17 +236,66 @@ class Model:
         at = start[inverse] + count[inverse] * (second / self.size)
         return np.minimum((at * (self.files / float(self.base_tokens[-1]))).astype(np.int64), self.files - 1)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted bigram keys."""
-        out = np.zeros(len(keys), np.int64)
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of sorted bigram keys; -1 where unknown."""
+        out = np.full(len(keys), -1, np.int64)
         file = self.file_of(keys // self.size, keys % self.size)
         for a, b in _spans(file):
-            known = _map(f"{self.folder}/pairs-{file[a]}.k", np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
-                out[a:b] = np.where(known[at] == keys[a:b], _map(f"{self.folder}/pairs-{file[a]}.c", np.uint32)[at], 0)
+            base = self.pair_base[file[a]]
+            if base < self.pair_base[file[a] + 1]:
+                firsts, starts, seconds = self.pairs_of(file[a])[:3]
+                first = keys[a:b] // self.size
+                at = np.minimum(np.searchsorted(firsts, first), len(firsts) - 1)
+                place, hit = search(seconds, starts[at], np.where(firsts[at] == first, starts[at + 1], starts[at]), keys[a:b] % self.size)
+                out[a + hit] = place[hit] + base
+        return out
+
+    def pairs_of(self, file: int) -> list[np.ndarray]:
+        """A file's distinct first words, where the bigrams of each begin (and the end), second words, counts."""
+        return sections(f"{self.folder}/pairs-{file}", np.uint32, np.uint32, np.uint32, np.uint8, np.int64)
+
+    def trigrams_of(self, file: int) -> list[np.ndarray]:
+        """Where the trigrams of every 16th bigram begin, and how far behind it those of each (and the end) do; how many of each
+        bigram's occur once, and twice; third words, counts."""
+        return sections(f"{self.folder}/trigrams-{file}", np.uint32, *(np.uint8, np.int64) * 3, np.uint32, np.uint8, np.int64)
+
+    def of_pairs(self, name: str, numbers: np.ndarray) -> np.ndarray:
+        """Counts (c), or distinct words before (a), of sorted bigram numbers."""
+        out = np.zeros(len(numbers), np.int64)
+        file = np.searchsorted(self.pair_base, numbers, "right") - 1
+        for a, b in _spans(file):
+            of = self.pairs_of(file[a])[3:] if name == "c" else sections(f"{self.folder}/before-{file[a]}", np.uint8, np.int64)
+            out[a:b] = small_at(*of, numbers[a:b] - self.pair_base[file[a]])
+        return out
+
+    def contexts(self, numbers: np.ndarray) -> np.ndarray:
+        """Of sorted bigram numbers: the words seen once, twice, and more often after them."""
+        out = np.zeros((3, len(numbers)), np.int64)
+        file = np.searchsorted(self.pair_base, numbers, "right") - 1
+        for a, b in _spans(file):
+            every, behind, over, *n = self.trigrams_of(file[a])
+            at = numbers[a:b] - self.pair_base[file[a]]
+            out[0, a:b], out[1, a:b] = small_at(*n[:2], at), small_at(*n[2:4], at)
+            size = _start(every, behind, over, at + 1) - _start(every, behind, over, at)
+            out[2, a:b] = size - out[0, a:b] - out[1, a:b]
         return out
 
+    def trigrams(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of sorted trigram keys."""
+        out = np.zeros(len(keys), np.int64)
+        pair = keys // self.size
+        file = np.searchsorted(self.pair_base, pair, "right") - 1
+        for a, b in _spans(file):
+            every, behind, over, *_, thirds, c, c_over = self.trigrams_of(file[a])
+            at = pair[a:b] - self.pair_base[file[a]]
+            place, hit = search(thirds, _start(every, behind, over, at), _start(every, behind, over, at + 1), keys[a:b] % self.size)
+            out[a + hit] = small_at(c, c_over, place[hit])
+        return out
+
+
+def _start(every: np.ndarray, behind: np.ndarray, over: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return every[at >> 4] + small_at(behind, over, at)
+
 
 def _spans(x: np.ndarray) -> Iterator[tuple[int, int]]:
     """Bounds of runs of equal entries."""
@@ -220,6 +334,86 @@ def _pairs(model: Model):
     return run
 
 
+def _trigrams(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, buf, offsets in K.chunks(batch["text"], CHUNK):
+                _, numbers, inverse, first, start = _keys(model, buf, offsets)
+                number = numbers[inverse]
+                keys, at = np.unique(_before(number, first, start) * model.size + number, return_inverse=True)
+                pair, later = model.find(keys)[at], _later(first)
+                keys, counts = np.unique(pair[later - 1] * model.size + number[later], return_counts=True)
+                file = np.searchsorted(model.pair_base, keys // model.size, "right") - 1
+                rows = [(int(file[a]), pack(np.diff(keys[a:b], prepend=0)), pack(counts[a:b], np.uint32)) for a, b in _spans(file)]
+                if rows:
+                    cols = list(zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["file", "k", "c"])
+
+    return run
+
+
+def _later(first: np.ndarray) -> np.ndarray:
+    """Places of the tokens that are not their document's first."""
+    later = np.ones(first[-1], bool)
+    later[first[:-1]] = False
+    return np.flatnonzero(later)
+
+
+def _write_trigrams(model: Model):
+    """Merges each file. Rows (grp, kind, k, c): kind 0 bigrams and distinct words before them, 1 the file's counts of counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file, t in _runs(batches, "file"):
+            keys, counts = _merge_blobs(t)
+            n = int(model.pair_base[file + 1] - model.pair_base[file])
+            context, third = keys // model.size - model.pair_base[file], keys % model.size
+            del keys
+            starts = np.searchsorted(context, np.arange(n + 1))
+            n1, n2 = (np.bincount(context[counts == k], minlength=n) for k in (1, 2))
+            behind = starts - starts[::16].repeat(16)[: n + 1]
+            put_sections(f"{model.folder}/trigrams-{file}", starts[::16].astype(np.uint32), *small(behind), *small(n1), *small(n2), third.astype(np.uint32), *small(counts))
+            rows = [(file // GROUP, 1, b"", pack(np.bincount(np.minimum(counts, 5), minlength=6)[1:], np.uint32))]
+            if len(third):
+                u, c = np.unique(model.pairs_of(file)[2][context].astype(np.int64) * model.size + third, return_counts=True)
+                group = model.file_of(u // model.size, u % model.size) // GROUP
+                rows += [(int(group[a]), 0, pack(np.diff(u[a:b], prepend=0)), pack(c[a:b], np.uint32)) for a, b in _spans(group)]
+            cols = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["grp", "kind", "k", "c"])
+
+    return run
+
+
+def _write_continuations(model: Model):
+    """Each group's bigram counts of the lower level. Rows (file, part, kind, at, n): kind 1 to 3 first words' numbers of bigrams
+    with count 1, 2 and more, 5 their sums of counts, 4 counts of counts and 6 those of trigrams (part -1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, t in _runs(batches, "grp"):
+            kind = t["kind"].to_numpy()
+            seen = sum(unpack(x.as_py(), np.uint32).astype(np.int64) for x in t.filter(pa.array(kind == 1))["c"])
+            keys, counts = _merge_blobs(t.filter(pa.array(kind == 0)))
+            rows = [(group * GROUP, -1, 6, pack(np.arange(5)), pack(seen))]
+            for file in range(group * GROUP, min(group * GROUP + GROUP, model.files)):
+                if model.pair_base[file] == model.pair_base[file + 1]:
+                    continue
+                firsts, starts, seconds, *counted = model.pairs_of(file)
+                first = firsts.astype(np.int64).repeat(np.diff(starts))
+                known = first * model.size + seconds
+                low, high = np.searchsorted(keys, known[0]), np.searchsorted(keys, known[-1], "right")
+                a = np.where(first == model.start, small_at(*counted, slice(None)), 0)
+                a[np.searchsorted(known, keys[low:high])] = counts[low:high]
+                put_sections(f"{model.folder}/before-{file}", *small(a))
+                rows.append((file, -1, 4, pack(np.arange(5)), pack(np.bincount(np.minimum(a, 5), minlength=6)[1:])))
+                u, at = np.unique(first, return_index=True)
+                sums = [(5, u, np.add.reduceat(a, at)), *((k, *np.unique(first[a == k if k < 3 else a > 2], return_counts=True)) for k in (1, 2, 3))]
+                for k, u, n in sums:
+                    part = np.searchsorted(model.base, u, "right") - 1
+                    rows += [(file, int(part[i]), k, pack(np.diff(u[i:j], prepend=0)), pack(n[i:j])) for i, j in _spans(part)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, (_, ty) in zip(zip(*rows, strict=True), _SUMS, strict=True)], names=[n for n, _ in _SUMS])
+
+    return run
+
+
 _SUMS = [("file", pa.int64()), ("part", pa.int64()), ("kind", pa.int64()), ("at", pa.binary()), ("n", pa.binary())]
 
 
@@ -229,10 +423,11 @@ def _write_pairs(model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, t in _runs(batches, "file"):
-            keys, counts = _merge(np.concatenate([np.cumsum(unpack(x.as_py())) for x in t["k"]]), np.concatenate([unpack(x.as_py(), np.uint32) for x in t["c"]]).astype(np.int64))
-            put_arrays(f"{model.folder}/pairs-{file}", k=keys, c=np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
+            keys, counts = _merge_blobs(t)
+            firsts, starts = np.unique(keys // model.size, return_index=True)
+            put_sections(f"{model.folder}/pairs-{file}", firsts.astype(np.uint32), np.append(starts, len(keys)).astype(np.uint32), (keys % model.size).astype(np.uint32), *small(counts))
             rows = [(file, -1, 4, pack(np.arange(5)), pack(np.append(np.bincount(np.minimum(counts, 5), minlength=6)[1:5], len(keys))))]
-            for kind in range(4):
+            for kind in range(4 if model.order == 2 else 1):
                 words = np.sort(keys % model.size) if kind == 0 else (keys // model.size)[counts == kind if kind < 3 else counts > 2]
                 u, n = np.unique(words, return_counts=True)
                 part = np.searchsorted(model.base, u, "right") - 1
@@ -245,10 +440,10 @@ def _write_pairs(model: Model):
 def _write_sums(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, t in _runs(batches, "part"):
-            dense = np.zeros((4, int(model.base[part + 1] - model.base[part])), np.int64)
+            dense = np.zeros((6, int(model.base[part + 1] - model.base[part])), np.int64)
             for kind, at, n in zip(t["kind"].to_pylist(), t["at"], t["n"], strict=True):
                 dense[kind, np.cumsum(unpack(at.as_py())) - model.base[part]] += unpack(n.as_py())
-            put_arrays(f"{model.folder}/words-{part}", a=dense[0], n1=dense[1], n2=dense[2], n3=dense[3])
+            put_arrays(f"{model.folder}/words-{part}", a=dense[0], n1=dense[1], n2=dense[2], n3=dense[3], **({"t": dense[5]} if model.order == 3 else {}))
             seen = np.bincount(np.minimum(dense[0], 5), minlength=6)[1:].tolist()
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, *seen)], names=["part", "n1", "n2", "n3", "n4", "more"])
 
@@ -270,8 +465,10 @@ def _discount(levels: list[float], counts: np.ndarray) -> np.ndarray:
     return np.array([0.0, *levels])[np.minimum(counts, 3)]
 
 
-def build(train: DataFrame, folder: str) -> Model:
+def build(train: DataFrame, folder: str, order: int = 2) -> Model:
     """train: text. Counts, and the arrays in folder."""
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = train.sparkSession
     words = materialize(train.mapInArrow(_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), folder, "words")
     n = words.count()
@@ -285,7 +482,7 @@ def build(train: DataFrame, folder: str) -> Model:
     for r in found:
         sizes[r.part], totals[r.part] = r.n, r.tokens
     documents = words.where(F.col("h") == int(START)).first()
-    model = Model(folder, 63 - bits, np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(totals)]), documents.c if documents else 0)
+    model = Model(folder, 63 - bits, np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(totals)]), documents.c if documents else 0, order)
     if not n:
         return model
     model.files = int(-(-model.base_tokens[-1] // FILE_TOKENS))
@@ -293,12 +490,28 @@ def build(train: DataFrame, folder: str) -> Model:
     pairs = train.mapInArrow(_pairs(model), "file long, k binary, c binary").repartition("file").sortWithinPartitions("file")
     sums = materialize(pairs.mapInArrow(_write_pairs(model), "file long, part long, kind long, at binary, n binary").repartition("part"), folder, "sums")
     release(spark)
-    of_counts = np.zeros(5, np.int64)
-    for r in sums.where("kind = 4").select("n").toLocalIterator():  # five numbers a file
-        of_counts += unpack(bytes(r.n))
-    seen = sums.where("kind < 4").repartition("part").sortWithinPartitions("part").mapInArrow(_write_sums(model), "part long, n1 long, n2 long, n3 long, n4 long, more long")
+    of_counts, sizes = np.zeros(5, np.int64), np.zeros(model.files, np.int64)
+    for r in sums.where("kind = 4").select("file", "n").toLocalIterator():  # five numbers a file
+        of_counts += (row := unpack(bytes(r.n)))
+        sizes[r.file] = row[4]
+    model.pair_base, model.pairs = np.concatenate([[0], np.cumsum(sizes)]), int(of_counts[4])
+    if order == 3:
+        if model.pairs * model.size >= 1 << 63:
+            raise ValueError("too many distinct bigrams and words")
+        model.start = int(model.look_up(np.array([START]))[0])
+        every = spark.range(model.files).select(F.col("id").alias("file"), F.lit(b"").alias("k"), F.lit(b"").alias("c"))  # so that each file is written
+        trigrams = train.mapInArrow(_trigrams(model), "file long, k binary, c binary").union(every).repartition("file").sortWithinPartitions("file")
+        lower = trigrams.mapInArrow(_write_trigrams(model), "grp long, kind long, k binary, c binary").repartition("grp").sortWithinPartitions("grp")
+        lower = materialize(lower.mapInArrow(_write_continuations(model), "file long, part long, kind long, at binary, n binary"), folder, "lower")
+        release(spark)
+        of_counts, of_trigrams = np.zeros(5, np.int64), np.zeros(5, np.int64)
+        for r in lower.where("kind IN (4, 6)").select("kind", "n").toLocalIterator():
+            (of_counts if r.kind == 4 else of_trigrams)[:] += unpack(bytes(r.n))
+        model.level3 = discounts(*of_trigrams[:4].tolist())
+        sums = sums.union(lower)
+    seen = sums.where("part >= 0").repartition("part").sortWithinPartitions("part").mapInArrow(_write_sums(model), "part long, n1 long, n2 long, n3 long, n4 long, more long")
     seen = list(seen.agg(*(F.sum(c) for c in ("n1", "n2", "n3", "n4", "more"))).first())
-    model.level2, model.level1, model.pairs = discounts(*of_counts[:4].tolist()), discounts(*seen[:4]), int(of_counts[4])
+    model.level2, model.level1 = discounts(*of_counts[:4].tolist()), discounts(*seen[:4])
     model.continuations = [seen[0], seen[1], sum(seen[2:])]
     return model
 
@@ -321,7 +534,7 @@ def score_chunk(model: Model, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.
     gamma = np.zeros(len(before_known))
     total = np.zeros(len(before_known), np.int64)
     sorted_numbers = before_known[order]
-    total[order] = model.column("c", sorted_numbers, np.int64)
+    total[order] = model.column("c" if model.order == 2 else "t", sorted_numbers, np.int64)
     gamma[order] = sum(d * model.column(f"n{k}", sorted_numbers, np.int64) for k, d in enumerate(model.level2, 1))
     gamma /= np.maximum(total, 1)
     uniform = sum(d * n for d, n in zip(model.level1, model.continuations, strict=True)) / model.pairs
@@ -339,8 +552,22 @@ def score_chunk(model: Model, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.
     p *= back
     both = np.flatnonzero(has & known[inverse])
     keys, at = np.unique(before_known[context[both]] * model.size + numbers[inverse[both]], return_inverse=True)
-    c = model.counts(keys)[at]
+    pair, c = model.find(keys), np.zeros(len(keys), np.int64)
+    c[pair >= 0] = model.of_pairs("c" if model.order == 2 else "a", pair[pair >= 0])
+    c = c[at]
     p[both] += np.maximum(c - _discount(model.level2, c), 0) / total[context[both]]
+    if model.order == 3:
+        pairs, later = np.full(len(inverse), -1, np.int64), _later(first)
+        pairs[both] = pair[at]
+        later = later[pairs[later - 1] >= 0]
+        u, at = np.unique(pairs[later - 1], return_inverse=True)
+        total = model.of_pairs("c", u)
+        p[later] *= ((np.array(model.level3) @ model.contexts(u)) / total)[at]
+        seen = known[inverse[later]]
+        later, at = later[seen], at[seen]
+        keys, place = np.unique(u[at] * model.size + numbers[inverse[later]], return_inverse=True)
+        c = model.trigrams(keys)[place]
+        p[later] += np.maximum(c - _discount(model.level3, c), 0) / total[at]
     return n_tokens, n_known, base_score, K.segment_sum(np.log10(p), first)
 
 
@@ -355,15 +582,15 @@ def _score(model: Model):
     return run
 
 
-def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (log10) of every row."""
     rows = docs.select(F.col(id_col).alias("id"), (fold(id_col, folds) == held_out).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    model = build(rows.where("NOT held_out").select("text"), shared_dir(docs.sparkSession))
+    model = build(rows.where("NOT held_out").select("text"), shared_dir(docs.sparkSession), order)
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(_score(model), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def model_scores(documents: DataFrame) -> DataFrame:
-    """The op8 digest."""
-    return score_texts(documents)
+def model_scores(documents: DataFrame, order: int = 2) -> DataFrame:
+    """The op8 digest, which the query takes at order 3."""
+    return score_texts(documents, order=order)

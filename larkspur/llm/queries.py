@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,7 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": _on("documents", "labels", run=quality.quality_scores),
         "op6_decontamination": _on("documents", "benchmark", run=decontaminate.contamination),
         "op7_html_text": _on("pages", run=htmltext.page_texts),
-        "op8_lm_scoring": _on("documents", run=lmscore.model_scores),
+        "op8_lm_scoring": _on("documents", run=partial(lmscore.model_scores, order=3)),
         "op9_substring_dedup": _on("documents", run=substrings.substring_dedup),
         "op10_toxicity": _on("documents", "labels", run=toxicity.toxicity_scores),
     }

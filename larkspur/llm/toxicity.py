@@ -12,6 +12,8 @@ training picks each document's window: first by those numbers, then by the netwo
 Edge cases: null, empty and wordless texts score 0; without labels of both classes every text with words scores the share
 of label 1; repeated ids count once in training, with their larger label; repeated rows score alike. Extra columns are
 not read.
+
+The task that trains leaves the tables in the shared folder, where workers map them; through the driver go the small weights.
 """
 
 from __future__ import annotations
@@ -25,17 +27,18 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import kernel as K
 from larkspur.llm.labelled import fit_in_task, fold, labelled_sample
+from larkspur.llm.shared import map_array, put_arrays, shared_dir
 
 LIMIT = 3000
 WINDOW, STRIDE = 96, 48
-BITS, TABLE_BITS = 20, 15  # of the buckets that are counted, and of those with an embedding
+BITS, TABLE_BITS = 20, 16  # of the buckets that are counted, and of those with an embedding
 D, H = 8, 8  # sizes of each embedding, and of a direction's state
 INPUTS = 3 * D + 2
 DROPPED = 0.6  # embeddings left out in training
 THRESHOLD = 0.7
 CHUNK = 1 << 20
 ROWS = 2048  # windows scored at once
-BATCH, ROUNDS, EPOCHS, RATE = 128, 3, 2, 0.01
+BATCH, ROUNDS, EPOCHS, RATE = 128, 3, 3, 0.01
 INNER = (4, 5)  # bytes of grams anywhere in a word
 LEADING = (4, 5, 6, 7, 8, 9)  # of those at its start
 
@@ -115,23 +118,28 @@ class Network:
     def __init__(self, tables: tuple[np.ndarray, np.ndarray], seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         r = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32)
-        self.tables = tables
+        self.tables, self.folder = tables, ""
         self.embeddings = [rng.normal(0, 0.05, (1 << TABLE_BITS, D)).astype(np.float32) for _ in range(3)]
         self.fx, self.fb, self.fu = r(INPUTS, 3 * H), np.zeros(3 * H, np.float32), r(H, 3 * H)
         self.bx, self.bb, self.bu = r(INPUTS, 3 * H), np.zeros(3 * H, np.float32), r(H, 3 * H)
         self.v, self.w, self.c = r(2 * H), r(2 * H), np.full(1, -1, np.float32)
 
+    def store(self, folder: str) -> Network:
+        """Leaves the tables in the folder; from there they are mapped where the network is sent."""
+        put_arrays(f"{folder}/network", **{f"{name}{k}": x for name in ("tables", "embeddings") for k, x in enumerate(getattr(self, name))})
+        self.folder = folder
+        return self
+
     def __getstate__(self) -> dict:
-        """Small enough to send: halved floats, and of the counted tables only what isn't 0."""
-        tables = [(at := np.flatnonzero(t).astype(np.int32), t[at].astype(np.float16)) for t in self.tables]
-        return self.__dict__ | {"tables": tables, "embeddings": [e.astype(np.float16) for e in self.embeddings]}
+        return {k: v for k, v in self.__dict__.items() if not self.folder or k not in ("tables", "embeddings")}
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state
-        self.embeddings = [e.astype(np.float32) for e in self.embeddings]
-        self.tables = tuple(np.zeros(1 << BITS, np.float32) for _ in state["tables"])
-        for table, (at, value) in zip(self.tables, state["tables"], strict=True):
-            table[at] = value
+    def __getattr__(self, name: str) -> list[np.ndarray]:
+        """Tables are mapped when first used, so never on the driver."""
+        if name not in ("tables", "embeddings"):
+            raise AttributeError(name)
+        n, shape = (2, (1 << BITS,)) if name == "tables" else (3, (1 << TABLE_BITS, D))
+        self.__dict__[name] = [np.asarray(map_array(f"{self.folder}/network.{name}{k}", np.float32)).reshape(shape) for k in range(n)]
+        return self.__dict__[name]
 
     def inputs(self, kinds: list[tuple[np.ndarray, np.ndarray]], fixed: np.ndarray | None = None) -> np.ndarray:
         """Input of each distinct word."""
@@ -366,13 +374,17 @@ def _keep(network: Network | None, share: float, threshold: float, column: str):
     return run
 
 
-def _train(sample: pa.Table) -> tuple[Network | None, float]:
-    y = sample["y"].to_numpy().astype(np.float64)
-    return train(sample["text"].combine_chunks(), y), float(y.mean()) if len(y) else 0.0
+def _train(folder: str):
+    def run(sample: pa.Table) -> tuple[Network | None, float]:
+        y = sample["y"].to_numpy().astype(np.float64)
+        network = train(sample["text"].combine_chunks(), y)
+        return network and network.store(folder), float(y.mean()) if len(y) else 0.0
+
+    return run
 
 
 def _fit(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, limit: int, id_col: str, text_col: str) -> tuple[Network | None, float]:
-    return fit_in_task(labelled_sample(docs, labels, label, folds, held_out, limit, id_col, text_col), _train)
+    return fit_in_task(labelled_sample(docs, labels, label, folds, held_out, limit, id_col, text_col), _train(shared_dir(docs.sparkSession)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1, limit: int = LIMIT, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -51,9 +51,7 @@ def shape_hashes(w: K.Words) -> np.ndarray:
         ok = first < len(at)
         keep[at[first[ok]]] = True
     rank = np.concatenate([[0], np.cumsum(keep)])
-    power, inverse = K._power_tables(len(sign) + 1)
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(keep, K._TABLE[sign] * power[rank[:-1]], np.uint64(0)), dtype=np.uint64)])
-    return K.mix((prefix[w.ends] - prefix[w.starts]) * inverse[rank[w.starts]], 21)
+    return K.hashes(sign[keep].astype(np.uint8), rank[w.starts], rank[w.ends], 21)
 
 
 def features(buf: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:

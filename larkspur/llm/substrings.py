@@ -1,19 +1,23 @@
-"""Removal of long word spans that repeat across documents, by a de Bruijn graph of token k-mers.
+"""Removal of long word spans that repeat across documents, by a compacted de Bruijn graph of token k-mers.
 
-Nodes are (window - 1)-grams, edges are windows of `window` words. An edge is repeated if documents with different ids
-hold it. Steps:
+Nodes are (window - 1)-grams; an edge is a window of `window` words, known by the hashes of the two nodes it joins. Steps:
 
-0. Copies: of documents with equal texts, those with a larger id are removed whole if they hold a window, and leave the
-   graph: the copy with the smallest id has all their edges.
+0. Copies: of documents with equal texts (SHA-256), those with a larger id are removed whole if they hold a window, and
+   leave the graph: the copy with the smallest id has all their edges.
 1. Candidates: each window's minimizer (least hash of its 6-grams) is counted over all documents; a window can be repeated
-   only if its minimizer is. The repeated minimizers go into a bitmap of bounded size, so that later steps move only
-   windows that may be repeated. This drops nothing: equal windows have equal minimizers.
-2. Edges: the windows left, as two independent 64-bit hashes, are aggregated to the edge's source coordinate: the
-   occurrence in the document with the smallest id.
-3. Compaction: occurrences join their edge's source coordinate. Consecutive occurrences whose source coordinates are
-   consecutive too lie on one nonbranching path of the source; each such run becomes one span (start, end, source,
-   source start). A run ends where the graph branches away from the source's path.
-4. Removal: words that a span from a smaller id covers are dropped.
+   only if its minimizer is. The repeated ones go into a bitmap that grows with them, so that later steps move only windows
+   that may be repeated. This drops nothing: equal windows have equal minimizers.
+2. Edges are aggregated to their source coordinate (the occurrence in the document with the smallest id), the number of
+   documents, and a sum that tells the set of places where they occur, and where the words before them would.
+3. Compaction: a join at the shared node links an edge to the one after it if both occur at the same places, that is if
+   the node has one way in and one way out wherever the edges occur. Linked edges have consecutive source coordinates, so
+   each maximal nonbranching path is one row: its first edge, length and source coordinate.
+4. Occurrences: a path is met whole or not at all, so that documents are searched for first edges alone. They join the
+   paths; those from a smaller id are spans to remove.
+5. Verification: the words at each source coordinate are read and hashed by SHA-256; a document drops a span only if its
+   own words there have the same. Where they have not (two sequences that share a hash), the windows of that path's
+   occurrences are compared word by word over all documents that hold it.
+6. Removal: words that a verified span covers are dropped.
 
 Edge cases: null and empty texts have no words; texts with fewer words than a window keep all; a null id is neither
 smaller nor larger than another, so such rows keep all words and are no source; rows with the same id do not repeat each
@@ -37,6 +41,8 @@ from larkspur.llm.shared import materialize, release, shared_dir
 
 WINDOW = 13
 SHORT = 6  # words of the grams that minimizers are chosen from
+HASH_BITS = 64  # of a node's hash; tests take fewer, so that different words share one
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _minimizers(h: np.ndarray, window: int) -> np.ndarray:
@@ -51,33 +57,57 @@ def _minimizers(h: np.ndarray, window: int) -> np.ndarray:
     return best
 
 
-def _windows(column: pa.Array, window: int) -> Iterator[tuple]:
-    """(first row, words, window positions, their minimizers) by chunk."""
-    for row, _, buf, offsets in K.chunks(column):
-        w = K.split_words(buf, offsets)
-        at = np.flatnonzero(K.window_starts(w.first, window))
-        if len(at):
-            yield row, w, at, K.mix(_minimizers(w.hashes, window)[at], 77)
+def _nodes(w: K.Words, window: int, bits: int) -> np.ndarray:
+    return K.ngram_hashes(w.hashes >> np.uint64(64 - bits) if bits < 64 else w.hashes, window - 1)
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, two hashes of the text) of each row."""
+def _edge_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return K.mix(left ^ (right << np.uint64(1)), 31)
+
+
+def _row_hash(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    return K.mix(K.mix(ids.view(np.uint64), 5) ^ tags.view(np.uint64), 6)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with a tag of the text: with the id, it tells rows apart whose texts differ."""
+    return docs.withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)))
+
+
+def _where(bitmap: str, batch: pa.RecordBatch, inside: bool = True) -> pa.RecordBatch:
+    """The rows whose id and tag may be in a bitmap, or are not."""
+    some = in_bitmap(bitmap, _row_hash(K.longs(batch["id"]), K.longs(batch["tag"]))) & batch["id"].is_valid().to_numpy(zero_copy_only=False)
+    return batch.filter(pa.array(some if inside else ~some))
+
+
+def _filter(bitmap: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _where(bitmap, batch)
+
+    return run
+
+
+def _row_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch["id"], *(pa.array(K.text_hashes(batch["text"], lane).view(np.int64)) for lane in (0, 1))], names=["id", "h", "g"])
+        yield pa.RecordBatch.from_arrays([pa.array(_row_hash(K.longs(batch["id"]), K.longs(batch["tag"])).view(np.int64))], names=["h"])
 
 
-def _firsts(bitmap: str, batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The rows that may be the first copy of their text: all that are, hardly any that are not."""
-    keys = _row_hash(K.longs(batch["id"]), K.text_hashes(batch["text"]))
-    return batch.filter(pa.array(in_bitmap(bitmap, keys)))
+def _write_rows(rows: DataFrame, folder: str, name: str) -> str:
+    """A bitmap of (id, tag) rows."""
+    keys = materialize(rows.mapInArrow(_row_keys, "h long"), folder, name)
+    return write_bitmap(keys, "h", keys.count(), f"{folder}/{name}.bits")
 
 
 def _count_minimizers(window: int, firsts: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = _firsts(firsts, batch)
-            for row, w, at, m in _windows(batch["text"], window):
-                doc = w.doc()[at]
+            for _, _, buf, offsets in K.chunks(_where(firsts, batch)["text"]):
+                w = K.split_words(buf, offsets)
+                at = np.flatnonzero(K.window_starts(w.first, window))
+                if not len(at):
+                    continue
+                m, doc = K.mix(_minimizers(w.hashes, window)[at], 77), w.doc()[at]
                 new = np.ones(len(m), bool)
                 new[1:] = (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])
                 m, doc = m[new], doc[new]
@@ -90,182 +120,266 @@ def _count_minimizers(window: int, firsts: str):
     return run
 
 
-def _id_hash(ids: np.ndarray) -> np.ndarray:
-    return K.mix(ids.view(np.uint64), 5)
+def _edges(window: int, bits: int, minimizers: str, firsts: str):
+    """(l, r, id, at, s, p) of each candidate edge of a document: its nodes, its first place (tag and position), and the sums
+    of its places and of those before them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = _where(firsts, batch)
+            ids, tags, numbers = (K.longs(batch[c]) for c in ("id", "tag", "row"))
+            for row, _, buf, offsets in K.chunks(batch["text"]):
+                w = K.split_words(buf, offsets)
+                at = np.flatnonzero(K.window_starts(w.first, window))
+                if len(at):
+                    at = at[in_bitmap(minimizers, K.mix(_minimizers(w.hashes, window)[at], 77))]
+                if not len(at):
+                    continue
+                node, doc = _nodes(w, window, bits), w.doc()[at]
+                left, right, pos = node[at], node[at + 1], (at - w.first[doc]).astype(np.uint64)
+                doc += row
+                base = K.mix(numbers[doc].view(np.uint64), 9)
+                here, before = K.mix(base + pos * _PLACE), K.mix(base + (pos - np.uint64(1)) * _PLACE)
+                order = np.argsort(_edge_hash(left, right), kind="stable")
+                left, right, doc = left[order], right[order], doc[order]
+                new = np.ones(len(at), bool)
+                new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1]) | (doc[1:] != doc[:-1])
+                first = np.flatnonzero(new)
+                place = (tags[doc[first]] << 32) | pos[order[first]].astype(np.int64)
+                cols = left[first].view(np.int64), right[first].view(np.int64), ids[doc[first]], place, *(np.bitwise_xor.reduceat(x[order], first).view(np.int64) for x in (here, before))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["l", "r", "id", "at", "s", "p"])
 
-def _row_hash(ids: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    return K.mix(_id_hash(ids) ^ texts, 6)
+    return run
 
 
-def _edges(window: int, bitmap: str, firsts: str):
+def _path_starts(window: int, bits: int, starts: str, firsts: str):
+    """(l, r, id, at) of every place that may hold a path's first edge."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = _firsts(firsts, batch)
-            ids, tags = K.longs(batch["id"]), K.text_hashes(batch["text"]) >> np.uint64(32)
-            for row, w, at, m in _windows(batch["text"], window):
-                at = at[in_bitmap(bitmap, m)]
+            batch = _where(firsts, batch)
+            ids, tags = K.longs(batch["id"]), K.longs(batch["tag"])
+            for row, _, buf, offsets in K.chunks(batch["text"]):
+                w = K.split_words(buf, offsets)
+                at = np.flatnonzero(K.window_starts(w.first, window))
                 if not len(at):
                     continue
+                node = _nodes(w, window, bits)
+                at = at[in_bitmap(starts, _edge_hash(node[at], node[at + 1]))]
                 doc = row + w.doc()[at]
-                pos = at - w.first[doc - row]
-                a, b = K.ngram_hashes(w.hashes, window)[at], K.ngram_hashes(w.hashes, window, salt=0x5DEECE66D)[at]
-                tag = (tags[doc] << np.uint64(32) | pos.astype(np.uint64)).view(np.int64)
-                # a window that a document repeats is one row; the last step finds its other places again
-                order = np.lexsort((pos, b, a, doc))
-                a, b, doc, tag = a[order], b[order], doc[order], tag[order]
-                new = np.ones(len(a), bool)
-                new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (a.view(np.int64), b.view(np.int64), ids[doc], tag)], names=["a", "b", "id", "tag"])
+                place = (tags[doc] << 32) | (at - w.first[doc - row])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[at].view(np.int64), node[at + 1].view(np.int64), ids[doc], place)], names=["l", "r", "id", "at"])
 
     return run
 
 
-def _everywhere(text: bytes, hits: np.ndarray, window: int) -> np.ndarray:
-    """hits (position, source id, source position) for every place in the text that holds the window of a hit."""
-    buf = np.frombuffer(text, np.uint8)
-    h = K.split_words(buf, np.array([0, len(buf)])).hashes
-    a, b = K.ngram_hashes(h, window), K.ngram_hashes(h, window, salt=0x5DEECE66D)
-    order = np.argsort(a[hits[:, 0]], kind="stable")
-    hits = hits[order]
-    known = a[hits[:, 0]]
-    at = np.minimum(np.searchsorted(known, a), len(known) - 1)
-    same = np.flatnonzero((known[at] == a) & (b[hits[at, 0]] == b))
-    return np.column_stack([same, hits[at[same], 1:]])
+def _edge_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_edge_hash(*(K.longs(batch[c]).view(np.uint64) for c in ("l", "r"))).view(np.int64))], names=["h"])
 
 
-def _spans(x: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
-    """Runs of (position, source id, source position) in which both positions go up by one: (start, end, source, source start)."""
-    x = x[np.lexsort((x[:, 0], x[:, 0] - x[:, 2], x[:, 1]))]
-    new = np.ones(len(x), bool)
-    new[1:] = (x[1:, 1] != x[:-1, 1]) | (x[1:, 0] != x[:-1, 0] + 1) | (x[1:, 2] != x[:-1, 2] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(x)) - 1
-    return sorted(zip(x[first, 0].tolist(), (x[last, 0] + window).tolist(), x[first, 1].tolist(), x[first, 2].tolist(), strict=True))
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    """Row numbers and words, one row's at a time."""
+    for i, x in enumerate(batch["text"]):
+        yield i, (x.as_py() or "").encode().split()
 
 
-RESULT = "n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start:long,end:long,source:long,source_start:long>>"
-_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64())]))
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words)).digest()
 
 
-def _finish(window: int, keep_text: bool):
-    """Rows (id, text, hits or none) to results."""
-
-    def one(text: bytes, hits: np.ndarray | None, copy_of: int | None) -> tuple:
-        words = text.split()
-        n = len(words)
-        if copy_of is not None and n >= window:
-            return n, n, hashlib.sha256(b"").hexdigest(), "" if keep_text else None, [{"start": 0, "end": n, "source": copy_of, "source_start": 0}]
-        spans = _spans(_everywhere(text, hits, window), window) if hits is not None else []
-        if spans:
-            x = np.array(spans, np.int64)
-            gone = K.cover(x[:, 0], x[:, 1] - x[:, 0], n)
-            words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-        kept = b" ".join(words)
-        return n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text else None, [dict(zip(("start", "end", "source", "source_start"), s, strict=True)) for s in spans]
+def _source_words(window: int):
+    """Rows (id, tag, text, spans of positions and lengths in windows) to (src, at, words), words being SHA-256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].fill_null("").cast(pa.binary())
-            found: list[np.ndarray | None] = [None] * len(texts)
-            copies = [None] * len(texts)
-            if "hits" in batch.schema.names:
-                lists = batch["hits"]
-                places = np.column_stack([K.longs(lists.values.field(c)) for c in ("pos", "src", "at")])
-                bounds = lists.offsets.to_numpy()
-                found = [places[a:b] if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                copies = batch["copy_of"].to_pylist()
-            for i in range(0, len(texts), 256):
-                part = range(i, min(i + 256, len(texts)))
-                rows = [one(texts[k].as_py(), found[k], copies[k]) for k in part]
-                cols = list(zip(*rows, strict=True))
-                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), _SPAN)
-                carried = [c for c in batch.schema.names if c not in ("text", "tag", "hits", "copy_of")]
-                yield pa.RecordBatch.from_arrays([*(batch[c].slice(i, len(part)) for c in carried), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*carried, "n_words", "n_removed", "kept_sha256", "kept", "spans"])
+            ids, tags = K.longs(batch["id"]), K.longs(batch["tag"])
+            for i, words in _texts(batch):
+                spans = [(s["pos"], s["len"]) for s in batch["spans"][i].as_py() if s["pos"] + s["len"] + window - 1 <= len(words)]
+                cols = [int(ids[i])] * len(spans), [int(tags[i]) << 32 | a for a, _ in spans], [_digest(words[a : a + n + window - 1]) for a, n in spans]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["src", "at", "words"])
 
     return run
 
 
-def _may_hit(bitmap: str, batch: pa.RecordBatch) -> np.ndarray:
-    return in_bitmap(bitmap, _id_hash(K.longs(batch["id"]))) & batch["id"].is_valid().to_numpy(zero_copy_only=False)
-
-
-def _untouched(bitmap: str, window: int, keep_text: bool):
-    """Results of the rows whose id has no hits."""
-    finish = _finish(window, keep_text)
+def _window_words(window: int):
+    """Rows (id, tag, text, spans) to (id, at, words) of each window in the spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from finish(batch.filter(pa.array(~_may_hit(bitmap, batch))) for batch in batches)
+        for batch in batches:
+            ids, tags = K.longs(batch["id"]), K.longs(batch["tag"])
+            for i, words in _texts(batch):
+                at = sorted({a for s in batch["spans"][i].as_py() for a in range(s["pos"], min(s["pos"] + s["len"], len(words) - window + 1))})
+                cols = [int(ids[i])] * len(at), [int(tags[i]) << 32 | a for a in at], [_digest(words[a : a + window]) for a in at]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "at", "words"])
 
     return run
 
 
-def _touched(bitmap: str):
-    """Rows whose id may have hits, with the text's tag."""
+def _joined(hits: list[dict], window: int) -> list[dict]:
+    """Spans of words from (pos, len, src, spos): paths that follow each other in both documents are one span."""
+    out: list[dict] = []
+    for pos, source, place, size in sorted((h["pos"], h["src"], h["spos"], h["len"]) for h in hits):
+        last = out[-1] if out else None
+        if last and last["source"] == source and last["end"] - last["start"] - window + 1 == pos - last["start"] == place - last["source_start"]:
+            last["end"] = pos + size + window - 1
+        else:
+            out.append({"start": pos, "end": pos + size + window - 1, "source": source, "source_start": place})
+    return out
+
+
+RESULT = "n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start:long,end:long,source:long,source_start:long>>, doubts array<struct<src:long,sat:long>>"
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64())]))
+_DOUBT = pa.list_(pa.struct([("src", pa.int64()), ("sat", pa.int64())]))
+_NOTHING = hashlib.sha256(b"").hexdigest()
+
+
+def _finish(window: int, keep_text: bool):
+    """Rows (text, hits, copy_of) to results; hits whose words differ from their source's are doubts."""
+
+    def one(words: list[bytes], hits: list[dict], copy_of: int | None) -> tuple:
+        n = len(words)
+        if copy_of is not None and n >= window:
+            return n, n, _NOTHING, "" if keep_text else None, [{"start": 0, "end": n, "source": copy_of, "source_start": 0}], []
+        sure, doubts = [], []
+        for h in hits:
+            # a window compared word by word comes without its source's words
+            same = h["words"] is None or (h["pos"] + h["len"] + window - 1 <= n and _digest(words[h["pos"] : h["pos"] + h["len"] + window - 1]) == h["words"])
+            (sure if same else doubts).append(h)
+        spans = _joined(sure, window)
+        if spans:
+            x = np.array([(s["start"], s["end"]) for s in spans], np.int64)
+            gone = K.cover(x[:, 0], x[:, 1] - x[:, 0], n)
+            words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+        kept = b" ".join(words)
+        return n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text else None, spans, [{"src": h["src"], "sat": h["sat"]} for h in doubts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = batch.filter(pa.array(_may_hit(bitmap, batch)))
-            tags = (K.text_hashes(part["text"]) >> np.uint64(32)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tags)], names=[*part.schema.names, "tag"])
+            held = "hits" in batch.schema.names
+            carried = [c for c in batch.schema.names if c not in ("text", "hits", "copy_of")]
+            rows, size, start = [], 0, 0
+            for i, words in _texts(batch):
+                rows.append(one(words, (batch["hits"][i].as_py() or []) if held else [], batch["copy_of"][i].as_py() if held else None))
+                size += sum(map(len, words)) if keep_text else 256
+                if size > 1 << 24 or i == batch.num_rows - 1:
+                    cols = list(zip(*rows, strict=True))
+                    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), _SPAN, _DOUBT)
+                    yield pa.RecordBatch.from_arrays([*(batch[c].slice(start, len(rows)) for c in carried), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*carried, "n_words", "n_removed", "kept_sha256", "kept", "spans", "doubts"])
+                    rows, size, start = [], 0, i + 1
 
     return run
 
 
-def _write_rows(rows: DataFrame, function, folder: str, name: str) -> str:
-    keys = materialize(rows.mapInArrow(function, "h long"), folder, name)
-    return write_bitmap(keys, "h", keys.count(), f"{folder}/{name}.bits")
-
-
-def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_row_hash(K.longs(batch["id"]), K.longs(batch["h"]).view(np.uint64)).view(np.int64))], names=["h"])
+def _untouched(bitmap: str, window: int, keep_text: bool):
+    """Results of the rows that have no hits for sure."""
+    finish = _finish(window, keep_text)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from finish(_where(bitmap, batch, False) for batch in batches)
 
-def _key_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_id_hash(K.longs(batch["id"])).view(np.int64))], names=["h"])
-
-
-def repeated_windows(rows: DataFrame, folder: str, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Of rows (id, text): copies (id, tag, copy_of), and (id, tag, pos, src, at) of each window of the other rows whose
-    words start in a document with a smaller id."""
-    spark = rows.sparkSession
-    rows = rows.where("id IS NOT NULL")
-    prints = materialize(rows.mapInArrow(_fingerprints, "id long, h long, g long"), folder, "prints")
-    first = materialize(prints.groupBy("h", "g").agg(F.min("id").alias("copy_of")), folder, "first")
-    tag = F.shiftrightunsigned("h", 32).alias("tag")
-    copies = prints.join(first, ["h", "g"]).where("copy_of < id").groupBy("id", tag).agg(F.min("copy_of").alias("copy_of"))
-    copies = materialize(copies, folder, "copies")
-    firsts = _write_rows(first.select(F.col("copy_of").alias("id"), "h"), _key_rows, folder, "firsts")
-    counted = rows.mapInArrow(_count_minimizers(window, firsts), "m long, c long")
-    seen = materialize(counted.groupBy("m").agg(F.sum("c").alias("c")).where("c > 1").select("m"), folder, "minimizers")
-    bitmap = write_bitmap(seen, "m", seen.count(), f"{folder}/minimizers.bits")
-    release(spark)
-    edges = rows.mapInArrow(_edges(window, bitmap, firsts), "a long, b long, id long, tag long")
-    source = edges.groupBy("a", "b").agg(F.min("id").alias("src"), F.min_by("tag", "id").alias("at"))
-    low = F.lit(0xFFFFFFFF)
-    hits = edges.join(source, ["a", "b"]).where("src < id").select("id", F.shiftrightunsigned("tag", 32).alias("tag"), F.col("tag").bitwiseAND(low).cast("int").alias("pos"), "src", F.col("at").bitwiseAND(low).cast("int").alias("at"))
-    hits = materialize(hits, folder, "hits")
-    release(spark)
-    return copies, hits
+    return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def _tag(at: str) -> F.Column:
+    return F.shiftrightunsigned(at, 32)
+
+
+def _pos(at: str) -> F.Column:
+    return F.col(at).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+class Graph:
+    """The compacted graph over rows (id, text, tag): copies (id, tag, copy_of) of smaller ids, and paths (l, r, src, at, len, n):
+    nodes of the first edge, source coordinate, length in edges, documents that hold the path."""
+
+    def __init__(self, rows: DataFrame, folder: str, window: int = WINDOW, bits: int = HASH_BITS) -> None:
+        self.rows, self.folder, self.window, self.bits = rows.where("id IS NOT NULL"), folder, window, bits
+        spark = rows.sparkSession
+        prints = materialize(self.rows.select("id", "tag", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("sha")), folder, "prints")
+        first = materialize(prints.groupBy("sha").agg(F.min("id").alias("copy_of"), F.min("tag").alias("tag")), folder, "first")
+        copies = prints.join(first.drop("tag"), "sha").where("copy_of < id").groupBy("id", "tag").agg(F.min("copy_of").alias("copy_of"))
+        self.copies = materialize(copies, folder, "copies")
+        self.firsts = _write_rows(first.select(F.col("copy_of").alias("id"), "tag"), folder, "firsts")
+        counted = self.rows.mapInArrow(_count_minimizers(window, self.firsts), "m long, c long")
+        seen = materialize(counted.groupBy("m").agg(F.sum("c").alias("c")).where("c > 1").select("m"), folder, "minimizers")
+        minimizers = write_bitmap(seen, "m", seen.count(), f"{folder}/minimizers.bits")
+        release(spark)
+        numbered = self.rows.withColumn("row", F.monotonically_increasing_id())
+        edges = numbered.mapInArrow(_edges(window, bits, minimizers, self.firsts), "l long, r long, id long, at long, s long, p long")
+        edges = edges.groupBy("l", "r").agg(F.count("*").alias("n"), F.min("id").alias("src"), F.min_by("at", "id").alias("at"), F.bit_xor("s").alias("s"), F.bit_xor("p").alias("p"))
+        edges = materialize(edges.where("n > 1"), folder, "edges")
+        release(spark)
+        # at their shared node, an edge follows the one that occurs wherever it does
+        ends = edges.select(F.col("r").alias("l"), F.col("s").alias("p"), F.col("src").alias("src0"), F.col("at").alias("at0"))
+        linked = edges.join(ends, ["l", "p"], "left").select("l", "r", "n", "src", "at", ((F.col("src") == F.col("src0")) & (F.col("at") == F.col("at0") + 1)).alias("inner"))
+        linked = linked.groupBy("l", "r", "n", "src", "at").agg(F.coalesce(F.max("inner"), F.lit(False)).alias("inner"))
+        line = Window.partitionBy("src", _tag("at")).orderBy("at")
+        numbers = linked.withColumn("path", F.sum(F.when(F.col("inner"), 0).otherwise(1)).over(line))
+        paths = numbers.groupBy("src", _tag("at"), "path").agg(F.min_by("l", "at").alias("l"), F.min_by("r", "at").alias("r"), F.min("at").alias("at"), F.count("*").alias("len"), F.first("n").alias("n"))
+        self.paths = materialize(paths.select("l", "r", "src", "at", "len", "n"), folder, "paths")
+
+    def hits(self) -> DataFrame:
+        """(id, at, len, src, sat): every place where a path occurs whose source has a smaller id."""
+        keys = self.paths.mapInArrow(_edge_keys, "h long")
+        starts = write_bitmap(keys, "h", self.paths.count(), f"{self.folder}/starts.bits")
+        met = self.rows.mapInArrow(_path_starts(self.window, self.bits, starts, self.firsts), "l long, r long, id long, at long")
+        hits = met.join(self.paths.select("l", "r", "src", F.col("at").alias("sat"), "len"), ["l", "r"]).where("src < id").select("id", "at", "len", "src", "sat")
+        return materialize(hits.distinct(), self.folder, "hits")
+
+    def texts(self, spans: DataFrame, name: str) -> DataFrame:
+        """Of (id, at, len), rows (id, tag, text, spans): the documents with their spans."""
+        lists = spans.select("id", _tag("at").alias("tag"), F.struct(_pos("at").alias("pos"), "len").alias("span")).groupBy("id", "tag").agg(F.collect_set("span").alias("spans"))
+        lists = materialize(lists, self.folder, name)
+        some = self.rows.mapInArrow(_filter(_write_rows(lists.select("id", "tag"), self.folder, f"{name}-rows")), self.rows.schema)
+        return some.join(lists, ["id", "tag"])
+
+    def with_words(self, hits: DataFrame) -> DataFrame:
+        """hits with the SHA-256 of the words at their source coordinate."""
+        sources = self.texts(hits.select(F.col("src").alias("id"), F.col("sat").alias("at"), "len"), "sources")
+        words = sources.select("id", "tag", "text", "spans").mapInArrow(_source_words(self.window), "src long, at long, words binary")
+        words = materialize(words.groupBy("src", F.col("at").alias("sat")).agg(F.min("words").alias("words")), self.folder, "words")
+        # without words at the source nothing is verified
+        return materialize(hits.join(words, ["src", "sat"], "left").withColumn("words", F.coalesce("words", F.lit(b""))), self.folder, "verified")
+
+    def compared(self, hits: DataFrame, doubts: DataFrame) -> DataFrame:
+        """hits without those of doubtful paths (src, sat), and with the windows of these, compared word by word."""
+        bad = hits.join(doubts, ["src", "sat"])
+        places = bad.select("id", "at", "len").union(bad.select(F.col("src").alias("id"), F.col("sat").alias("at"), "len"))
+        windows = self.texts(places, "doubted").select("id", "tag", "text", "spans").mapInArrow(_window_words(self.window), "id long, at long, words binary")
+        windows = materialize(windows.distinct(), self.folder, "windows")
+        least = windows.groupBy("words").agg(F.min("id").alias("src"), F.min_by("at", "id").alias("sat"))
+        found = windows.join(least, "words").where("src < id").select("src", "sat", "id", "at", F.lit(1).cast("long").alias("len"), F.lit(None).cast("binary").alias("words"))
+        return materialize(hits.join(doubts, ["src", "sat"], "left_anti").unionByName(found), self.folder, "compared")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = True, carry: tuple[str, ...] = (), hash_bits: int = HASH_BITS) -> DataFrame:
     """id_col, the carried columns, n_words, n_removed, kept_sha256, kept (words joined by one space; null unless
     keep_text) and spans of every row. Carried columns named like a result are refused."""
-    folder = shared_dir(docs.sparkSession)
+    if window < 2:
+        raise ValueError("a window has two words at least")
+    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     names = [f"c{k}" for k in range(len(carry))]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)))
-    copies, hits = repeated_windows(rows.select("id", "text"), folder, window)
-    touched = _write_rows(hits.select("id").union(copies.select("id")).distinct(), _key_ids, folder, "touched")
-    # only documents that may have hits are shuffled with their texts
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    some = rows.mapInArrow(_touched(touched), f"{fields}, tag long")
-    by_doc = hits.groupBy("id", "tag").agg(F.collect_list(F.struct("pos", "src", "at")).alias("hits"))
-    some = some.join(by_doc, ["id", "tag"], "left").join(copies, ["id", "tag"], "left").select("id", "text", *names, "hits", "copy_of")
+    rows = _rows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True))))
+    graph = Graph(rows.select("id", "text", "tag"), folder, window, hash_bits)
+    hits = graph.with_words(graph.hits())
+    release(spark)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    out = rows.mapInArrow(_untouched(touched, window, keep_text), f"{fields}, {RESULT}").unionByName(some.mapInArrow(_finish(window, keep_text), f"{fields}, {RESULT}"))
+
+    def touched(hits: DataFrame, copies: DataFrame, bitmap: str, name: str) -> DataFrame:
+        by_row = hits.withColumns({"tag": _tag("at"), "pos": _pos("at"), "spos": _pos("sat")}).groupBy("id", "tag").agg(F.collect_list(F.struct("pos", "len", "src", "spos", "sat", "words")).alias("hits"))
+        some = rows.mapInArrow(_filter(bitmap), rows.schema).join(by_row, ["id", "tag"], "left").join(copies, ["id", "tag"], "left")
+        done = some.select("id", "text", *names, "tag", "hits", "copy_of").mapInArrow(_finish(window, keep_text), f"{fields}, {RESULT}")
+        return materialize(done, folder, name)
+
+    # only documents that may have hits are shuffled with their texts
+    bitmap = _write_rows(hits.select("id", _tag("at").alias("tag")).union(graph.copies.select("id", "tag")).distinct(), folder, "touched")
+    some = touched(hits, graph.copies, bitmap, "results")
+    doubts = materialize(some.select(F.explode("doubts").alias("d")).select("d.src", "d.sat").distinct(), folder, "doubts")
+    if not doubts.isEmpty():
+        some = touched(graph.compared(hits, doubts), graph.copies, bitmap, "compared-results")
+    release(spark)
+    out = rows.mapInArrow(_untouched(bitmap, window, keep_text), f"{fields}, {RESULT}").unionByName(some).drop("tag", "doubts")
     if clash := {id_col, *carry} & {f for f in out.columns if f not in ("id", *names)}:
         raise ValueError(f"columns named like results: {sorted(clash)}")
     return out.withColumnsRenamed({"id": id_col} | dict(zip(names, carry, strict=True)))
@@ -273,17 +387,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The compacted graph: each maximal nonbranching path of repeated edges, by its source coordinates. Columns: source,
-    start, n_words, n_documents (rows that repeat the whole path).
-
-    A path ends wherever some document's span along that source begins or ends, as the graph branches there. The marks of
-    a source are distinct, so a window over them holds at most its document's length.
-    """
-    spans = remove_repeats(docs, id_col, text_col, window, keep_text=False).select(F.explode("spans").alias("s")).select(F.col("s.source").alias("source"), F.col("s.source_start").alias("first"), (F.col("s.source_start") + F.col("s.end") - F.col("s.start") - window + 1).alias("stop"))
-    spans = materialize(spans, shared_dir(docs.sparkSession), "spans")
-    marks = spans.select("source", F.explode(F.array("first", "stop")).alias("start")).distinct()
-    paths = marks.withColumn("next", F.lead("start").over(Window.partitionBy("source").orderBy("start"))).where("next IS NOT NULL")
-    held = paths.join(spans, "source").where("first <= start AND next <= stop")
-    return held.groupBy("source", "start", "next").agg(F.count("*").alias("n_documents")).select("source", "start", (F.col("next") - F.col("start") + window - 1).alias("n_words"), "n_documents")
+    start, n_words, n_documents (documents that repeat the path; whole copies of a text are no part of the graph)."""
+    rows = _rows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
+    paths = Graph(rows, shared_dir(docs.sparkSession), window).paths
+    return paths.select(F.col("src").alias("source"), _pos("at").alias("start"), (F.col("len") + window - 1).alias("n_words"), (F.col("n") - 1).alias("n_documents"))
 
 
 def remove_from_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

@@ -22,25 +22,28 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def bounded(rows: DataFrame, by: str, limit: int) -> DataFrame:
-    """About limit rows at most for each value of by (an integer or string column), chosen by a hash of the id."""
-    counts = {r[0]: r[1] for r in rows.groupBy(by).count().limit(1001).collect()}
-    if len(counts) > 1000:
-        raise ValueError(f"{by} has more than 1000 values")
-    share = F.lit(0)
-    for value, n in counts.items():
-        share = F.when(F.col(by).eqNullSafe(F.lit(value)), F.lit(min(1_000_000, 1_000_000 * limit // max(n, 1)))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64(F.col("id")), F.lit(1_000_000)) < share)
+    """About limit rows at most for each value of by, those with the least hashes of their id; however many rows and values
+    there are. Null values are a value."""
+    counts = rows.groupBy(F.col(by).alias("by_")).agg(share(F.count("*"), limit).alias("least_"))
+    hash_ = F.xxhash64(F.col("id"), F.lit("sample")).bitwiseAND(F.lit((1 << 63) - 1))
+    return rows.withColumn("hash_", hash_).join(counts, F.col(by).eqNullSafe(F.col("by_"))).where("hash_ <= least_").drop("hash_", "by_", "least_")
+
+
+def share(n: Column, limit: int) -> Column:
+    """The 63-bit number below which limit of n random ones fall."""
+    return F.least(F.lit(float(1 << 63)) * (F.lit(float(limit)) / n), F.lit(float((1 << 63) - 1024))).cast("long")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, y) of about limit labelled documents of each class outside the held-out fold.
 
-    The sampled labels are bounded by limit, so they are broadcast; other texts are never shuffled.
+    The sampled labels are bounded by limit, so they are broadcast; other texts are never shuffled. Of rows with the same id,
+    one counts: that with the least text.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("y"))
     known = bounded(known.where(fold("id", folds) != held_out), "y", limit)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    return rows.join(F.broadcast(known), "id")
+    return rows.join(F.broadcast(known), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y")
 
 
 def fit_in_task(sample: DataFrame, fit: Callable[[pa.Table], Model]) -> Model:

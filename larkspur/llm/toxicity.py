@@ -1,13 +1,12 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over word and character inputs.
 
 A text's words (ASCII letters, digits and all non-ASCII, lower-cased) are read in windows of `WINDOW` words, each starting
-`STRIDE` after the one before, so that neighbours overlap; the last window reaches the last word. A word's input is a
-hashed word embedding, the means of hashed embeddings of its inner and of its leading character grams, and two fixed
-numbers: how strongly the word, and the most telling of its grams, go with label 1 over the training documents (signed
-root of the likelihood ratio; in training, without the document itself). Forward and backward states are pooled by
-attention, a window's score is the sigmoid of a linear form, a text's score that of its highest window. The network is
-trained in numpy on at most about `limit` labelled documents of each class. As labels mark documents, not windows,
-training picks each document's window: first by those numbers, then by the network itself.
+`STRIDE` after the one before, so that neighbours overlap; the last window reaches the last word. A word's input is its
+embedding and the means of the embeddings of its inner and of its leading character grams; words and grams that fewer than
+`SEEN` training documents have share a zero embedding. Forward and backward states are pooled by attention, a window's score
+is the sigmoid of a linear form, a text's score that of its highest window. The network is trained in numpy on at most about
+`limit` labelled documents of each class. Labels mark documents, not windows: the first round trains on windows drawn from
+each document, later ones on those that the network itself scores highest, and on others drawn from label 0.
 
 Edge cases: null, empty and wordless texts score 0; without labels of both classes every text with words scores the share
 of label 1; repeated ids count once in training, with their larger label; repeated rows score alike. Extra columns are
@@ -31,38 +30,41 @@ from larkspur.llm.shared import map_array, put_arrays, shared_dir
 
 LIMIT = 3000
 WINDOW, STRIDE = 96, 48
-BITS, TABLE_BITS = 20, 16  # of the buckets that are counted, and of those with an embedding
-D, H = 8, 8  # sizes of each embedding, and of a direction's state
-INPUTS = 3 * D + 2
-DROPPED = 0.6  # embeddings left out in training
+BITS = 20  # of the buckets of words, and of grams of each kind
+SEEN = 4
+D, H = 8, 12  # sizes of each embedding, and of a direction's state
+INPUTS = 3 * D
+DROPPED = 0.3  # embeddings left out in training
 THRESHOLD = 0.7
 CHUNK = 1 << 20
 ROWS = 2048  # windows scored at once
-BATCH, ROUNDS, EPOCHS, RATE = 128, 3, 3, 0.01
-INNER = (4, 5)  # bytes of grams anywhere in a word
-LEADING = (4, 5, 6, 7, 8, 9)  # of those at its start
+BATCH, ROUNDS, RATE, TABLE_RATE = 192, (4, 2, 2), 0.01, 0.05  # epochs of each round
+DRAWN = 3  # windows of a document in the first round
+UP = 1.5  # weight of label 1 where it is rarer, at most
+INNER = (5,)  # bytes of grams anywhere in a word
+LEADING = (4, 5, 6, 7, 8)  # of those at its start
 
 
-def char_grams(w: K.Words, which: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def char_grams(w: K.Words, buf: np.ndarray, which: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Buckets of the inner and of the leading character grams of some words, and their bounds per word; each kind has the
     whole word too, so none is empty."""
-    power, inverse = K._power_tables(len(w.buf) + 1)
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K._TABLE_LOWER[w.buf] * power[: len(w.buf)], dtype=np.uint64)])
     starts, ends = w.starts[which], w.ends[which]
     size = ends - starts
-    whole = (prefix[ends] - prefix[starts]) * inverse[starts]
     out = []
     for kind, sizes in enumerate((INNER, LEADING)):
-        parts, owner = [K.mix(whole, 90 + kind)], [np.arange(len(which))]
+        at, end, owner, salt = [starts], [ends], [np.arange(len(which))], [np.zeros(len(which), np.uint64)]
         for n in sizes:
             count = np.maximum(size - n + 1, 0) if kind == 0 else (size > n).astype(np.int64)
             own = np.repeat(np.arange(len(which)), count)
-            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + starts[own]
-            parts.append(K.mix((prefix[at + n] - prefix[at]) * inverse[at], 10 * n + kind))
+            begin = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + starts[own]
+            at.append(begin)
+            end.append(begin + n)
             owner.append(own)
+            salt.append(np.full(len(own), n, np.uint64))
         owner = np.concatenate(owner)
         order = np.argsort(owner, kind="stable")
-        out.append(((np.concatenate(parts)[order] >> np.uint64(64 - BITS)).astype(np.int32), np.searchsorted(owner[order], np.arange(len(which) + 1)).astype(np.int32)))
+        grams = K.mix(K.hashes(buf, np.concatenate(at), np.concatenate(end), 90 + kind) + np.concatenate(salt))[order]
+        out.append(((grams >> np.uint64(64 - BITS)).astype(np.int32), np.searchsorted(owner[order], np.arange(len(which) + 1)).astype(np.int32)))
     return out
 
 
@@ -76,7 +78,7 @@ class Vocabulary:
         self.word = word.astype(np.int32)
         bucket = (hashes >> np.uint64(64 - BITS)).astype(np.int32)
         #: words, inner grams, leading grams: buckets and bounds per distinct word
-        self.kinds = [(bucket, np.arange(len(bucket) + 1, dtype=np.int32)), *char_grams(w, at)]
+        self.kinds = [(bucket, np.arange(len(bucket) + 1, dtype=np.int32)), *char_grams(w, K.LOWER[buf], at)]
 
     def some(self, u: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """The kinds of some distinct words."""
@@ -97,65 +99,74 @@ class Vocabulary:
         return self.first[doc] + start, np.minimum(sizes[doc], WINDOW), doc
 
     def at(self, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct-word numbers (windows x WINDOW, 0 where short) and the mask of real words."""
-        place = np.arange(WINDOW)
+        """Distinct-word numbers (windows x longest, 0 where short) and the mask of real words."""
+        place = np.arange(length.max(initial=1))
         real = place < length[:, None]
         return np.where(real, self.word[np.minimum(start[:, None] + place, len(self.word) - 1)], 0), real
 
 
-def evidence(tables: tuple[np.ndarray, np.ndarray], kinds: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The two fixed inputs of each distinct word."""
-    word = tables[0][kinds[0][0]]
-    chars = [np.maximum.reduceat(tables[1][buckets], bounds[:-1]) for buckets, bounds in kinds[1:]]
-    return np.stack([word, np.maximum(*chars)], axis=1)
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def segment_sums(x: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of x by their number in to, n of them."""
+    out = np.zeros((n, x.shape[1]), x.dtype)
+    if len(to):
+        order = np.argsort(to, kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], np.diff(to[order]) != 0]))
+        out[to[order[at]]] = np.add.reduceat(x[order], at, axis=0)
+    return out
+
+
 class Network:
-    def __init__(self, tables: tuple[np.ndarray, np.ndarray], seed: int = 7) -> None:
+    """places: of each kind, the row of a bucket's embedding; row 0 is zero and stays so."""
+
+    def __init__(self, places: list[np.ndarray], seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         r = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32)
-        self.tables, self.folder = tables, ""
-        self.embeddings = [rng.normal(0, 0.05, (1 << TABLE_BITS, D)).astype(np.float32) for _ in range(3)]
+        self.folder, self.sizes = "", [int(p.max(initial=0)) + 1 for p in places]
+        self.places = places
+        self.embeddings = [rng.normal(0, 0.05, (n, D)).astype(np.float32) for n in self.sizes]
+        for e in self.embeddings:
+            e[0] = 0
         self.fx, self.fb, self.fu = r(INPUTS, 3 * H), np.zeros(3 * H, np.float32), r(H, 3 * H)
         self.bx, self.bb, self.bu = r(INPUTS, 3 * H), np.zeros(3 * H, np.float32), r(H, 3 * H)
         self.v, self.w, self.c = r(2 * H), r(2 * H), np.full(1, -1, np.float32)
 
     def store(self, folder: str) -> Network:
         """Leaves the tables in the folder; from there they are mapped where the network is sent."""
-        put_arrays(f"{folder}/network", **{f"{name}{k}": x for name in ("tables", "embeddings") for k, x in enumerate(getattr(self, name))})
+        put_arrays(f"{folder}/network", **{f"{name}{k}": x for name in ("places", "embeddings") for k, x in enumerate(getattr(self, name))})
         self.folder = folder
         return self
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if not self.folder or k not in ("tables", "embeddings")}
+        return {k: v for k, v in self.__dict__.items() if not self.folder or k not in ("places", "embeddings")}
 
     def __getattr__(self, name: str) -> list[np.ndarray]:
         """Tables are mapped when first used, so never on the driver."""
-        if name not in ("tables", "embeddings"):
+        if name not in ("places", "embeddings"):
             raise AttributeError(name)
-        n, shape = (2, (1 << BITS,)) if name == "tables" else (3, (1 << TABLE_BITS, D))
-        self.__dict__[name] = [np.asarray(map_array(f"{self.folder}/network.{name}{k}", np.float32)).reshape(shape) for k in range(n)]
+        kind, shape = (np.int32, (-1,)) if name == "places" else (np.float32, (-1, D))
+        self.__dict__[name] = [np.asarray(map_array(f"{self.folder}/network.{name}{k}", kind)).reshape(shape) for k in range(3)]
         return self.__dict__[name]
 
-    def inputs(self, kinds: list[tuple[np.ndarray, np.ndarray]], fixed: np.ndarray | None = None) -> np.ndarray:
+    def inputs(self, kinds: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Input of each distinct word."""
         if len(kinds[0][1]) < 2:
             return np.zeros((1, INPUTS), np.float32)
         parts = []
-        for table, (buckets, bounds) in zip(self.embeddings, kinds, strict=True):
-            rows = table[buckets >> (BITS - TABLE_BITS)]
+        for table, places, (buckets, bounds) in zip(self.embeddings, self.places, kinds, strict=True):
+            rows = table[places[buckets]]
             parts.append(np.add.reduceat(rows, bounds[:-1], axis=0) / np.diff(bounds)[:, None] if len(rows) > len(bounds) - 1 else rows)
-        return np.concatenate([*parts, evidence(self.tables, kinds) if fixed is None else fixed], axis=1, dtype=np.float32)
+        return np.concatenate(parts, axis=1, dtype=np.float32)
 
     def run(self, gates: np.ndarray, u: np.ndarray, words: np.ndarray, real: np.ndarray, back: bool, keep: list | None = None) -> np.ndarray:
         """States (T, rows, H); keep gets what the backward pass needs. gates: of each distinct word."""
         h = np.zeros((len(words), H), np.float32)
-        out = np.empty((WINDOW, len(words), H), np.float32)
-        for t in range(WINDOW - 1, -1, -1) if back else range(WINDOW):
+        steps = words.shape[1]
+        out = np.empty((steps, len(words), H), np.float32)
+        for t in range(steps - 1, -1, -1) if back else range(steps):
             g = gates[words[:, t]]
             a = h @ u
             zr = 0.5 * np.tanh(0.5 * (g[:, : 2 * H] + a[:, : 2 * H])) + 0.5
@@ -187,8 +198,10 @@ class Network:
         start, length, doc = v.windows()
         gates = self.gates(self.inputs(v.kinds))
         out = np.empty(len(start))
+        order = np.argsort(length, kind="stable")  # windows of a length take as many steps
         for i in range(0, len(start), ROWS):
-            out[i : i + ROWS] = self.logits(gates, *v.at(start[i : i + ROWS], length[i : i + ROWS]))
+            some = order[i : i + ROWS]
+            out[some] = self.logits(gates, *v.at(start[some], length[some]))
         return out, start, length, doc
 
     def score(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -215,9 +228,10 @@ class Network:
         grad["v"] = np.einsum("tb,tbh->h", ds, h)
         dh = a[:, :, None] * dp + ds[:, :, None] * self.v
         dx = np.zeros_like(x)
-        for name, kept, part, wx, u, gates in (("f", kept_f, dh[:, :, :H], self.fx, self.fu, gf), ("b", kept_b, dh[:, :, H:], self.bx, self.bu, gb)):
-            carry = np.zeros((len(y), H), np.float32)
-            du, dg = np.zeros_like(u), np.zeros_like(gates)
+        to = words.T.ravel()
+        for name, kept, part, wx, u in (("f", kept_f, dh[:, :, :H], self.fx, self.fu), ("b", kept_b, dh[:, :, H:], self.bx, self.bu)):
+            carry = np.zeros((len(y), H), x.dtype)
+            du, steps = np.zeros_like(u), np.zeros((words.shape[1], len(y), 3 * H), x.dtype)
             for t, h0, z, r, n, an in reversed(kept):
                 m = real[:, t][:, None]
                 total = carry + part[t]
@@ -226,20 +240,21 @@ class Network:
                 pre = np.concatenate([g * (h0 - n) * z * (1 - z), dn * an * r * (1 - r), dn * r], axis=1)
                 du += h0.T @ pre
                 carry = np.where(m, g * z + pre @ u.T, total)
-                np.add.at(dg, words[:, t], np.concatenate([pre[:, : 2 * H], dn], axis=1))
+                steps[t, :, : 2 * H], steps[t, :, 2 * H :] = pre[:, : 2 * H], dn
+            dg = segment_sums(steps.reshape(-1, 3 * H), to, len(x))
             grad[name + "u"], grad[name + "x"], grad[name + "b"] = du, x.T @ dg, dg.sum(axis=0)
             dx += dg @ wx.T
         return grad, dx
 
     def fit(self, batches: list[tuple], epochs: int, state: dict, rng: np.random.Generator) -> None:
-        """batches: (kinds, fixed inputs, words, real, y, weight) over the batch's own distinct words."""
+        """batches: (kinds, words, real, y, weight) over the batch's own distinct words."""
         for _ in range(epochs):
-            for kinds, fixed, words, real, y, weight in batches:
-                x = self.inputs(kinds, fixed)
+            for kinds, words, real, y, weight in batches:
+                x = self.inputs(kinds)
                 kept = (rng.random((len(x), 3)) >= DROPPED).repeat(D, axis=1).astype(np.float32) / (1 - DROPPED)
-                x[:, : 3 * D] *= kept
+                x *= kept
                 grad, dx = self._gradient(x, words, real, y, weight)
-                dx[:, : 3 * D] *= kept
+                dx *= kept
                 state["t"] += 1
                 for name, g in grad.items():  # Adam
                     m, s = state.setdefault(name, (np.zeros_like(g), np.zeros_like(g)))
@@ -248,106 +263,72 @@ class Network:
                     getattr(self, name)[...] -= RATE * (m / (1 - 0.9 ** state["t"])) / (np.sqrt(s / (1 - 0.999 ** state["t"])) + 1e-8)
                 for k, (buckets, bounds) in enumerate(kinds):  # Adagrad
                     size = np.diff(bounds)
-                    g = (dx[:, k * D : k * D + D] / size[:, None]).repeat(size, axis=0)
-                    u, inverse = np.unique(buckets >> (BITS - TABLE_BITS), return_inverse=True)
-                    total = np.zeros((len(u), D), np.float32)
-                    np.add.at(total, inverse, g)
-                    seen = state.setdefault(k, np.full(1 << TABLE_BITS, 1e-8, np.float32))
+                    rows = self.places[k][buckets]
+                    g = (dx[:, k * D : k * D + D] / size[:, None]).repeat(size, axis=0)[rows > 0]
+                    u, inverse = np.unique(rows[rows > 0], return_inverse=True)
+                    total = segment_sums(g, inverse, len(u))
+                    seen = state.setdefault(k, np.full(self.sizes[k], 1e-8, np.float32))
                     seen[u] += (total * total).mean(axis=1)
-                    self.embeddings[k][u] -= 0.03 * total / np.sqrt(seen[u])[:, None]
+                    self.embeddings[k][u] -= TABLE_RATE * total / np.sqrt(seen[u])[:, None]
 
 
-def _batches(vocabularies: list[Vocabulary], fixed: list[list[np.ndarray]], rows: list[tuple[int, int, int, int]], rng: np.random.Generator) -> list[tuple]:
-    """rows: (vocabulary, start, length, label). Classes weigh alike, up to a factor of 4."""
+def merged(vocabularies: list[Vocabulary]) -> Vocabulary:
+    """Several chunks as one; a word of two chunks stands for itself in each."""
+    out = object.__new__(Vocabulary)
+    sizes = np.concatenate([[0], np.cumsum([len(v.kinds[0][0]) for v in vocabularies])])
+    out.word = np.concatenate([v.word + base for v, base in zip(vocabularies, sizes, strict=False)]).astype(np.int32)
+    out.first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(v.first) for v in vocabularies]))])
+    out.kinds = [(np.concatenate([v.kinds[k][0] for v in vocabularies]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(v.kinds[k][1]) for v in vocabularies]))]).astype(np.int32)) for k in range(3)]
+    return out
+
+
+def _batches(v: Vocabulary, start: np.ndarray, length: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> list[tuple]:
+    """Windows in batches of alike lengths. Classes weigh alike, up to a factor of UP."""
     out = []
-    ones = sum(r[3] for r in rows)
-    up = min(4.0, max(1.0, (len(rows) - ones) / max(ones, 1)))
-    order = rng.permutation(len(rows))
-    for i in range(0, len(order), BATCH):
-        words, real, y, parts, given, base = [], [], [], [], [], 0
-        for k in order[i : i + BATCH]:
-            v, start, length, label = rows[k]
-            u, place = np.unique(vocabularies[v].word[start : start + length], return_inverse=True)
-            parts.append(vocabularies[v].some(u))
-            given.append(fixed[label][v][u])
-            words.append(np.pad(place + base, (0, WINDOW - length)).astype(np.int32))
-            real.append(np.arange(WINDOW) < length)
-            y.append(label)
-            base += len(u)
-        kinds = [(np.concatenate([p[k][0] for p in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[k][1]) for p in parts]))]).astype(np.int32)) for k in range(3)]
-        y = np.array(y, np.float32)
-        out.append((kinds, np.concatenate(given), np.array(words), np.array(real), y, np.where(y > 0, up, 1).astype(np.float32)))
+    up = min(UP, max(1.0, (len(y) - y.sum()) / max(y.sum(), 1)))
+    order = np.lexsort((rng.random(len(y)), length))
+    parts = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
+    for k in rng.permutation(len(parts)):
+        words, real = v.at(start[parts[k]], length[parts[k]])
+        u, place = np.unique(words, return_inverse=True)
+        own = y[parts[k]].astype(np.float32)
+        out.append((v.some(u), place.reshape(words.shape).astype(np.int32), real, own, np.where(own > 0, up, 1).astype(np.float32)))
     return out
 
 
-def association(k1: np.ndarray, k0: np.ndarray, n1: float, n0: float) -> np.ndarray:
-    """Signed root of the likelihood ratio of a bucket seen in k1 of n1 documents with label 1 and k0 of n0 others, over 5."""
-    k, n = k1 + k0, n1 + n0
-
-    def term(x: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1e-9) / np.maximum(expected, 1e-9))
-
-    ratio = term(k1, k * n1 / n) + term(k0, k * n0 / n) + term(n1 - k1, (n - k) * n1 / n) + term(n0 - k0, (n - k) * n0 / n)
-    return np.clip(np.sign(k1 * n0 - k0 * n1) * np.sqrt(2 * np.maximum(ratio, 0)) / 5, -2, 4).astype(np.float32)
-
-
-def count_evidence(vocabularies: list[Vocabulary], labels: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Tables (words, characters) of association with label 1: over all documents, and as seen from a document of label 0
-    or 1 that holds the bucket."""
-    seen, n = np.zeros((2, 2, 1 << BITS), np.float32), np.zeros(2)
-    for v, y in zip(vocabularies, labels, strict=True):
-        for d in range(len(v.first) - 1):
-            k = int(y[d])
-            n[k] += 1
-            u = np.unique(v.word[v.first[d] : v.first[d + 1]])
-            if len(u):
-                kinds = v.some(u)
-                seen[0, k, np.unique(kinds[0][0])] += 1
-                seen[1, k, np.unique(np.concatenate([kinds[1][0], kinds[2][0]]))] += 1
-
-    def table(t: np.ndarray, without: np.ndarray) -> np.ndarray:
-        """Buckets never seen keep 0."""
-        at = np.flatnonzero(t.any(axis=0))
-        out = np.zeros(1 << BITS, np.float32)
-        k0, k1 = np.maximum(t[:, at].astype(np.float64) - without[:, None], 0)
-        n0, n1 = np.maximum(n - without, 1)
-        out[at] = association(k1, k0, n1, n0)
-        return out
+def seen_places(v: Vocabulary) -> list[np.ndarray]:
+    """Of each kind, a row number for the buckets that SEEN documents have, 0 for the others."""
+    counts = [np.zeros(1 << BITS, np.int32) for _ in range(3)]
+    for d in range(len(v.first) - 1):
+        u = np.unique(v.word[v.first[d] : v.first[d + 1]])
+        for k, (buckets, _) in enumerate(v.some(u) if len(u) else ()):
+            counts[k][np.unique(buckets)] += 1
+    return [np.where(c >= SEEN, np.cumsum(c >= SEEN), 0).astype(np.int32) for c in counts]
+
 
-    return [tuple(table(t, np.array(without)) for t in seen) for without in ((0, 0), (1, 0), (0, 1))]
+def _highest(value: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The first window of each document with the highest value."""
+    at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    pick = np.flatnonzero(value == np.repeat(np.maximum.reduceat(value, at), np.diff(np.append(at, len(doc)))))
+    return pick[np.unique(doc[pick], return_index=True)[1]]
 
 
 def train(texts: pa.Array, y: np.ndarray) -> Network | None:
     if not 0 < y.sum() < len(y):
         return None
     rng = np.random.default_rng(3)
-    vocabularies, labels = [], []
-    for row, end, buf, offsets in K.chunks(texts, CHUNK):
-        vocabularies.append(Vocabulary(buf, offsets))
-        labels.append(y[row:end])
-    tables, *apart = count_evidence(vocabularies, labels)
-    fixed = [[evidence(t, v.kinds) if len(v.word) else np.zeros((0, 2)) for v in vocabularies] for t in apart]
-    del apart
-    network = Network(tables)
+    v = merged([Vocabulary(buf, offsets) for _, _, buf, offsets in K.chunks(texts, CHUNK)])
+    if not len(v.word):
+        return None
+    network = Network(seen_places(v))
+    start, length, doc = v.windows()
     state: dict = {"t": 0}
-    for turn in range(ROUNDS):
-        rows = []
-        for k, (v, own) in enumerate(zip(vocabularies, labels, strict=True)):
-            if not len(v.word):
-                continue
-            if turn:
-                value, start, length, doc = network.window_logits(v)
-            else:
-                start, length, doc = v.windows()
-                best = np.concatenate([fixed[1][k].max(axis=1)[v.word], np.full(WINDOW, -9.0)])
-                value = np.lib.stride_tricks.sliding_window_view(best, WINDOW)[start].max(axis=1)
-            for chosen in (value, rng.random(len(value))):  # of each document the highest window; of label 0 one more
-                at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-                top = np.maximum.reduceat(chosen, at)
-                pick = np.flatnonzero(chosen == np.repeat(top, np.diff(np.append(at, len(doc)))))
-                pick = pick[np.unique(doc[pick], return_index=True)[1]]
-                rows += [(k, s, n, int(own[d])) for s, n, d in zip(start[pick].tolist(), length[pick].tolist(), doc[pick].tolist(), strict=True) if chosen is value or not own[d]]
-        network.fit(_batches(vocabularies, fixed, rows, rng), EPOCHS, state, rng)
+    for turn, epochs in enumerate(ROUNDS):
+        drawn = [_highest(rng.random(len(doc)), doc) for _ in range(1 if turn else DRAWN)]
+        if turn:
+            drawn = [drawn[0][y[doc[drawn[0]]] == 0], _highest(network.window_logits(v)[0], doc)]
+        rows = np.unique(np.concatenate(drawn))
+        network.fit(_batches(v, start[rows], length[rows], y[doc[rows]], rng), epochs, state, rng)
     return network
 
 

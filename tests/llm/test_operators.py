@@ -295,23 +295,105 @@ def test_language(spark, nothing):
     assert {r.lang_pred for r in langid.languages(frame(spark, [(0, "abc", None, None, 0)])).collect()} == {"und"}
 
 
+def brute(word, prob):
+    """Sum over all segmentations, one by one."""
+    total = [1.0] + [0.0] * len(word)
+    for i in range(len(word)):
+        for j in range(i + 1, len(word) + 1):
+            total[j] += total[i] * prob.get(word[i:j], 0.0)
+    return total[-1]
+
+
 def test_forward_sums_all_segmentations():
     import itertools
 
     import numpy as np
 
-    pieces = [b"a", b"b", b"ab", b"aba", b"ba"]
+    pieces = [b"a", b"b", b"ab", b"aba", b"ba", b"abababab", b"baabbaabba"]
+    theta = np.array([[0.3], [0.1], [0.25], [0.2], [0.15], [0.3], [0.2], [0.0]])
     p = langid.Pieces(pieces)
-    theta = np.array([[0.3], [0.1], [0.25], [0.2], [0.15], [0.0]])
-    order = {langid._hash(np.array([[*(np.frombuffer(x, np.uint8).astype(int) + 1), *[0] * (6 - len(x))]]))[0]: x for x in pieces}
-    prob = {order[k]: theta[i, 0] for i, k in enumerate(p.keys.tolist())}
-    word = b"abaab"
+    prob = dict(zip(pieces, theta[:, 0]))
+    word = b"abaabbaabbaabababab"
     total = 0.0
     for cuts in itertools.product([0, 1], repeat=len(word) - 1):
         at = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(word)]
         total += math.prod(prob.get(word[a:b], 0.0) for a, b in zip(at, at[1:]))
-    ids = p.lattice(np.frombuffer(word, np.uint8)[None, :], len(word))
-    assert abs(langid.forward(ids, theta)[-1][0, 0] - total) < 1e-12
+    ids = p.lattice(np.frombuffer(word, np.uint8)[None, :], len(word), np.array([len(word)]))
+    assert abs(langid.forward(ids, theta)[0, -1, 0] / total - 1) < 1e-9 and abs(brute(word, prob) / total - 1) < 1e-9
+
+
+def test_long_words_are_not_cut():
+    import random
+
+    import numpy as np
+
+    r = random.Random(4)
+    pieces = sorted({bytes(r.choice(b"abc") for _ in range(k)) for k in (1, 1, 1, 2, 3, 7, 9, 12, 20) for _ in range(9)})
+    theta = np.append(np.random.default_rng(1).random((len(pieces), 2)) / len(pieces), np.zeros((1, 2)), axis=0)
+    model = langid.Model(["x", "y"], langid.Pieces(pieces), theta)
+    words_ = [bytes(r.choice(b"abc") for _ in range(k)) for k in (1, 2, 5, 47, 48, 49, 63, 64, 65, 66, 127, 128, 129, 150, 160, 3000)]
+    r.shuffle(words_)
+    ends = np.cumsum([len(w) for w in words_])
+    got = model.log_words(np.frombuffer(b"".join(words_), np.uint8), ends - [len(w) for w in words_], ends)
+    for w, row in zip(words_, got):
+        for k in (0, 1):
+            parts = [(0.0, 1.0)]  # exponent and mantissa
+            prob, alpha, scale = dict(zip(pieces, theta[:, k])), [1.0], 0.0
+            for j in range(1, len(w) + 1):
+                x = sum(alpha[i] * prob.get(w[i:j], 0.0) for i in range(max(0, j - 20), j))
+                alpha.append(x)
+                if x < 1e-200:
+                    alpha = [a * 1e200 for a in alpha[:-21]][:0] + [0.0] * max(0, len(alpha) - 21) + [a * 1e200 for a in alpha[-21:]]
+                    scale += math.log(1e200)
+            assert parts and abs(math.log(alpha[-1]) - scale - row[k]) < 1e-3 * len(w), len(w)
+
+
+def test_language_query_against_plain_model(spark):
+    """The same model, word by word in plain Python, over the table's whole texts."""
+    import numpy as np
+    import pyarrow as pa
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+    sample = [r for r in rows if r.text is not None and r.lang is not None and crc(r.doc_id) % 5 != 0]
+    sample.sort(key=lambda r: (r.doc_id, r.text))
+    model = langid.train(pa.table({"text": pa.array([r.text for r in sample]), "lang": pa.array([r.lang for r in sample])}))
+    theta = model.theta.astype(np.float32).astype(np.float64)
+    pieces = langid.read_pieces()
+    tables = [dict(zip(pieces, theta[:, k])) for k in range(len(model.langs))]
+    got = {r.doc_id: r for r in langid.languages(docs).collect()}
+    known = {}
+    for r in rows:
+        text = "".join(c.lower() if c.isascii() or "À" <= c <= "Þ" else c for c in r.text or "")
+        found = re.findall(rb"[a-z\x80-\xff]+", text.encode())
+        if len(found) > 3000:
+            continue
+        log = np.zeros(len(tables))
+        for w in found:
+            if w not in known:
+                known[w] = np.array([math.log(brute(w[:400], t)) for t in tables]) if len(w) < 400 else None
+            if known[w] is None:
+                break
+            log += known[w]
+        else:
+            if found:
+                best = int(log.argmax())
+                share = 1 / np.exp(np.clip(log - log.max(), -700, 0)).sum()
+                assert got[r.doc_id].lang_pred == model.langs[best] and abs(got[r.doc_id].score - share) < 1e-3
+            else:
+                assert got[r.doc_id].lang_pred == "und"
+
+
+def test_samples_of_any_size(spark):
+    from larkspur.llm.labelled import bounded, share
+
+    rows = spark.range(1, 40_000).selectExpr("id", "id % 3 as y").union(spark.range(1).selectExpr("-1L", "null"))
+    got = {r.y: r["count"] for r in bounded(rows, "y", 500).groupBy("y").count().collect()}
+    assert got[None] == 1 and all(abs(got[k] - 500) < 100 for k in range(3))
+    faked = spark.range(1).select(*(share(F.lit(n).cast("long"), 500).alias(f"n{n}") for n in (1, 500, 10**6, 10**12))).first()
+    assert faked.n1 == faked.n500 >= (1 << 63) - 2048 and abs(faked.n1000000000000 / (1 << 63) - 5e-10) < 1e-15
+    many = spark.range(3000).selectExpr("id", "cast(id % 1500 as string) as y")
+    assert bounded(many, "y", 2).count() == 3000
 
 
 def labelled(n=400):
@@ -350,8 +432,7 @@ def test_network_gradient():
     texts = pa.array(["one two three loweibad", "two three four five six " * 9])
     (_, _, buf, offsets), = K.chunks(texts)
     v = toxicity.Vocabulary(buf, offsets)
-    tables = tuple(np.zeros(1 << toxicity.BITS, np.float32) for _ in range(2))
-    net = toxicity.Network(tables)
+    net = toxicity.Network([np.arange(1 << toxicity.BITS, dtype=np.int32) % 997 for _ in range(3)])
     for n in ("fx", "fb", "fu", "bx", "bb", "bu", "v", "w", "c"):
         setattr(net, n, getattr(net, n).astype(np.float64))
     start, length, _ = v.windows()

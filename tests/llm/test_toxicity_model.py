@@ -14,13 +14,13 @@ def test_tables_are_mapped_not_sent(tmp_path):
     import pyarrow as pa
 
     rng = np.random.default_rng(1)
-    net = toxicity.Network(tuple(rng.normal(0, 1, 1 << toxicity.BITS).astype(np.float32) for _ in range(2)))
+    net = toxicity.Network([rng.integers(0, 5000, 1 << toxicity.BITS).astype(np.int32) for _ in range(3)])
     (_, _, buf, offsets), = K.chunks(pa.array(["one two three loweibad", None, "two three four " * 99]))
     want = net.score(buf, offsets)
     data = pickle.dumps(net.store(f"file://{tmp_path}"))
     assert len(data) < 50_000
     got = pickle.loads(data)
-    assert "tables" not in got.__dict__ and (got.score(buf, offsets) == want).all()
+    assert "places" not in got.__dict__ and (got.score(buf, offsets) == want).all()
 
 
 def test_held_out_recall(spark):
@@ -28,4 +28,4 @@ def test_held_out_recall(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
     found = toxicity.toxicity_scores(docs, labels).where("held_out").join(labels, "doc_id").groupBy("toxic").agg(F.avg("predicted"))
     share = dict(map(tuple, found.collect()))
-    assert share[1] > 0.83 and share[0] == pytest.approx(0, abs=0.005)
+    assert share[1] > 0.9 and share[0] == pytest.approx(0, abs=0.01)

@@ -13,10 +13,10 @@ Nodes are (window - 1)-grams; an edge is a window of `window` words, known by th
    the node has one way in and one way out wherever the edges occur. Linked edges have consecutive source coordinates, so
    each maximal nonbranching path is one row: its first edge, length and source coordinate.
 4. Occurrences: a path is met whole or not at all, so that documents are searched for first edges alone. They join the
-   paths; those from a smaller id are spans to remove.
-5. Verification: the words at each source coordinate are read and hashed by SHA-256; a document drops a span only if its
-   own words there have the same. Where they have not (two sequences that share a hash), the windows of that path's
-   occurrences are compared word by word over all documents that hold it.
+   paths; where a document follows consecutive paths of one source, they are one run.
+5. Verification: the words at each run's source coordinate are read and hashed by SHA-256; a document drops a run only if
+   its own words there have the same. Where they have not (two sequences share a hash), the windows of all runs that meet
+   these places of the source are compared word by word.
 6. Removal: words that a verified span covers are dropped.
 
 Edge cases: null and empty texts have no words; texts with fewer words than a window keep all; a null id is neither
@@ -188,38 +188,56 @@ def _digest(words: list[bytes]) -> bytes:
     return hashlib.sha256(b" ".join(words)).digest()
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, tag, hits) to runs (id, tag, pos, len, src, sat)."""
+    for batch in batches:
+        lists = batch["hits"]
+        bounds = lists.offsets.to_numpy()
+        row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+        pos, size, src, sat = (K.longs(lists.values.field(c))[bounds[0] : bounds[-1]] for c in ("pos", "len", "src", "sat"))
+        order = np.lexsort((pos, sat - pos, src, row))
+        row, pos, size, src, sat = (x[order] for x in (row, pos, size, src, sat))
+        new = np.ones(len(row), bool)
+        # within a source, runs lie on one diagonal
+        new[1:] = (row[1:] != row[:-1]) | (src[1:] != src[:-1]) | (pos[1:] != pos[:-1] + size[:-1]) | (sat[1:] != sat[:-1] + size[:-1])
+        first = np.flatnonzero(new)
+        cols = K.longs(batch["id"])[row[first]], K.longs(batch["tag"])[row[first]], pos[first], np.add.reduceat(size, first) if len(first) else size, src[first], sat[first]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "tag", "pos", "len", "src", "sat"])
+
+
 def _source_words(window: int):
-    """Rows (id, tag, text, spans of positions and lengths in windows) to (src, at, words), words being SHA-256."""
+    """Rows (id, tag, text, spans of positions and lengths in windows) to (src, sat, len, words), words being SHA-256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tags = K.longs(batch["id"]), K.longs(batch["tag"])
+            ids, tags, out = K.longs(batch["id"]), K.longs(batch["tag"]), []
             for i, words in _texts(batch):
-                spans = [(s["pos"], s["len"]) for s in batch["spans"][i].as_py() if s["pos"] + s["len"] + window - 1 <= len(words)]
-                cols = [int(ids[i])] * len(spans), [int(tags[i]) << 32 | a for a, _ in spans], [_digest(words[a : a + n + window - 1]) for a, n in spans]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["src", "at", "words"])
+                spans = ((s["pos"], s["len"]) for s in batch["spans"][i].as_py())
+                out += [(int(ids[i]), int(tags[i]) << 32 | a, n, _digest(words[a : a + n + window - 1])) for a, n in spans if a + n + window - 1 <= len(words)]
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["src", "sat", "len", "words"])
 
     return run
 
 
 def _window_words(window: int):
-    """Rows (id, tag, text, spans) to (id, at, words) of each window in the spans."""
+    """Rows (id, tag, text, spans) to (id, tag, pos, words) of each window in the spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tags = K.longs(batch["id"]), K.longs(batch["tag"])
             for i, words in _texts(batch):
                 at = sorted({a for s in batch["spans"][i].as_py() for a in range(s["pos"], min(s["pos"] + s["len"], len(words) - window + 1))})
-                cols = [int(ids[i])] * len(at), [int(tags[i]) << 32 | a for a in at], [_digest(words[a : a + window]) for a in at]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "at", "words"])
+                cols = [int(ids[i])] * len(at), [int(tags[i])] * len(at), at, [_digest(words[a : a + window]) for a in at]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "tag", "pos", "words"])
 
     return run
 
 
 def _joined(hits: list[dict], window: int) -> list[dict]:
-    """Spans of words from (pos, len, src, spos): paths that follow each other in both documents are one span."""
+    """Spans of words from (pos, len, src, sat): runs that follow each other in both documents are one span."""
     out: list[dict] = []
-    for pos, source, place, size in sorted((h["pos"], h["src"], h["spos"], h["len"]) for h in hits):
+    for pos, source, place, size in sorted((h["pos"], h["src"], h["sat"] & 0xFFFFFFFF, h["len"]) for h in hits):
         last = out[-1] if out else None
         if last and last["source"] == source and last["end"] - last["start"] - window + 1 == pos - last["start"] == place - last["source_start"]:
             last["end"] = pos + size + window - 1
@@ -228,9 +246,9 @@ def _joined(hits: list[dict], window: int) -> list[dict]:
     return out
 
 
-RESULT = "n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start:long,end:long,source:long,source_start:long>>, doubts array<struct<src:long,sat:long>>"
+RESULT = "n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start:long,end:long,source:long,source_start:long>>, doubts array<struct<src:long,sat:long,len:long>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64())]))
-_DOUBT = pa.list_(pa.struct([("src", pa.int64()), ("sat", pa.int64())]))
+_DOUBT = pa.list_(pa.struct([("src", pa.int64()), ("sat", pa.int64()), ("len", pa.int64())]))
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -252,7 +270,7 @@ def _finish(window: int, keep_text: bool):
             gone = K.cover(x[:, 0], x[:, 1] - x[:, 0], n)
             words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
         kept = b" ".join(words)
-        return n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text else None, spans, [{"src": h["src"], "sat": h["sat"]} for h in doubts]
+        return n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text else None, spans, [{k: h[k] for k in ("src", "sat", "len")} for h in doubts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,6 +307,10 @@ def _pos(at: str) -> F.Column:
     return F.col(at).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+def _place(tag: str, pos: str) -> F.Column:
+    return F.shiftleft(tag, 32).bitwiseOR(F.col(pos))
+
+
 class Graph:
     """The compacted graph over rows (id, text, tag): copies (id, tag, copy_of) of smaller ids, and paths (l, r, src, at, len, n):
     nodes of the first edge, source coordinate, length in edges, documents that hold the path."""
@@ -311,46 +333,50 @@ class Graph:
         edges = materialize(edges.where("n > 1"), folder, "edges")
         release(spark)
         # at their shared node, an edge follows the one that occurs wherever it does
-        ends = edges.select(F.col("r").alias("l"), F.col("s").alias("p"), F.col("src").alias("src0"), F.col("at").alias("at0"))
-        linked = edges.join(ends, ["l", "p"], "left").select("l", "r", "n", "src", "at", ((F.col("src") == F.col("src0")) & (F.col("at") == F.col("at0") + 1)).alias("inner"))
-        linked = linked.groupBy("l", "r", "n", "src", "at").agg(F.coalesce(F.max("inner"), F.lit(False)).alias("inner"))
+        ends = edges.select(F.col("r").alias("l"), F.col("s").alias("p"), "src", (F.col("at") + 1).alias("at"), F.lit(True).alias("inner"))
+        linked = edges.join(ends, ["l", "p", "src", "at"], "left").select("l", "r", "n", "src", "at", F.coalesce("inner", F.lit(False)).alias("inner"))
         line = Window.partitionBy("src", _tag("at")).orderBy("at")
         numbers = linked.withColumn("path", F.sum(F.when(F.col("inner"), 0).otherwise(1)).over(line))
         paths = numbers.groupBy("src", _tag("at"), "path").agg(F.min_by("l", "at").alias("l"), F.min_by("r", "at").alias("r"), F.min("at").alias("at"), F.count("*").alias("len"), F.first("n").alias("n"))
         self.paths = materialize(paths.select("l", "r", "src", "at", "len", "n"), folder, "paths")
 
-    def hits(self) -> DataFrame:
-        """(id, at, len, src, sat): every place where a path occurs whose source has a smaller id."""
+    def runs(self) -> DataFrame:
+        """(id, tag, pos, len, src, sat): where a document follows paths whose source has no larger id, paths that follow each
+        other in both being one run."""
         keys = self.paths.mapInArrow(_edge_keys, "h long")
         starts = write_bitmap(keys, "h", self.paths.count(), f"{self.folder}/starts.bits")
         met = self.rows.mapInArrow(_path_starts(self.window, self.bits, starts, self.firsts), "l long, r long, id long, at long")
-        hits = met.join(self.paths.select("l", "r", "src", F.col("at").alias("sat"), "len"), ["l", "r"]).where("src < id").select("id", "at", "len", "src", "sat")
-        return materialize(hits.distinct(), self.folder, "hits")
+        hits = met.join(self.paths.select("l", "r", "src", F.col("at").alias("sat"), "len"), ["l", "r"]).where("src < id OR (src = id AND sat != at)")
+        hits = hits.groupBy("id", _tag("at").alias("tag")).agg(F.collect_set(F.struct(_pos("at").alias("pos"), "len", "src", "sat")).alias("hits"))
+        return materialize(hits.mapInArrow(_runs, "id long, tag long, pos long, len long, src long, sat long"), self.folder, "runs")
 
     def texts(self, spans: DataFrame, name: str) -> DataFrame:
-        """Of (id, at, len), rows (id, tag, text, spans): the documents with their spans."""
-        lists = spans.select("id", _tag("at").alias("tag"), F.struct(_pos("at").alias("pos"), "len").alias("span")).groupBy("id", "tag").agg(F.collect_set("span").alias("spans"))
+        """Of (id, tag, pos, len), rows (id, tag, text, spans): the documents with their spans."""
+        lists = spans.groupBy("id", "tag").agg(F.collect_set(F.struct("pos", "len")).alias("spans"))
         lists = materialize(lists, self.folder, name)
         some = self.rows.mapInArrow(_filter(_write_rows(lists.select("id", "tag"), self.folder, f"{name}-rows")), self.rows.schema)
         return some.join(lists, ["id", "tag"])
 
-    def with_words(self, hits: DataFrame) -> DataFrame:
-        """hits with the SHA-256 of the words at their source coordinate."""
-        sources = self.texts(hits.select(F.col("src").alias("id"), F.col("sat").alias("at"), "len"), "sources")
-        words = sources.select("id", "tag", "text", "spans").mapInArrow(_source_words(self.window), "src long, at long, words binary")
-        words = materialize(words.groupBy("src", F.col("at").alias("sat")).agg(F.min("words").alias("words")), self.folder, "words")
+    def with_words(self, runs: DataFrame) -> DataFrame:
+        """The runs from smaller ids, with SHA-256 of the words at their source coordinate."""
+        runs = runs.where("src < id")
+        sources = self.texts(runs.select(F.col("src").alias("id"), _tag("sat").alias("tag"), _pos("sat").alias("pos"), "len"), "sources")
+        words = sources.select("id", "tag", "text", "spans").mapInArrow(_source_words(self.window), "src long, sat long, len long, words binary")
+        words = materialize(words.groupBy("src", "sat", "len").agg(F.min("words").alias("words")), self.folder, "words")
         # without words at the source nothing is verified
-        return materialize(hits.join(words, ["src", "sat"], "left").withColumn("words", F.coalesce("words", F.lit(b""))), self.folder, "verified")
-
-    def compared(self, hits: DataFrame, doubts: DataFrame) -> DataFrame:
-        """hits without those of doubtful paths (src, sat), and with the windows of these, compared word by word."""
-        bad = hits.join(doubts, ["src", "sat"])
-        places = bad.select("id", "at", "len").union(bad.select(F.col("src").alias("id"), F.col("sat").alias("at"), "len"))
-        windows = self.texts(places, "doubted").select("id", "tag", "text", "spans").mapInArrow(_window_words(self.window), "id long, at long, words binary")
+        return materialize(runs.join(words, ["src", "sat", "len"], "left").withColumn("words", F.coalesce("words", F.lit(b""))), self.folder, "verified")
+
+    def compared(self, verified: DataFrame, runs: DataFrame, doubts: DataFrame) -> DataFrame:
+        """verified without the doubtful runs (src, sat, len), and with the windows of these, compared word by word: with those
+        of all runs that meet the same places of the source, and of the source."""
+        bad = doubts.select("src", _tag("sat").alias("stag"), F.col("sat").alias("low"), (F.col("sat") + F.col("len")).alias("high"))
+        met = runs.withColumn("stag", _tag("sat")).join(bad, ["src", "stag"]).where("sat < high AND low < sat + len").select("id", "tag", "pos", "len")
+        places = met.union(doubts.select(F.col("src").alias("id"), _tag("sat").alias("tag"), _pos("sat").alias("pos"), "len"))
+        windows = self.texts(places, "doubted").select("id", "tag", "text", "spans").mapInArrow(_window_words(self.window), "id long, tag long, pos long, words binary")
         windows = materialize(windows.distinct(), self.folder, "windows")
-        least = windows.groupBy("words").agg(F.min("id").alias("src"), F.min_by("at", "id").alias("sat"))
-        found = windows.join(least, "words").where("src < id").select("src", "sat", "id", "at", F.lit(1).cast("long").alias("len"), F.lit(None).cast("binary").alias("words"))
-        return materialize(hits.join(doubts, ["src", "sat"], "left_anti").unionByName(found), self.folder, "compared")
+        least = windows.groupBy("words").agg(F.min("id").alias("src"), F.min_by(_place("tag", "pos"), "id").alias("sat"))
+        found = windows.join(least, "words").where("src < id").select("id", "tag", "pos", F.lit(1).cast("long").alias("len"), "src", "sat", F.lit(None).cast("binary").alias("words"))
+        return materialize(verified.join(doubts, ["src", "sat", "len"], "left_anti").unionByName(found), self.folder, "compared")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = True, carry: tuple[str, ...] = (), hash_bits: int = HASH_BITS) -> DataFrame:
@@ -362,22 +388,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = [f"c{k}" for k in range(len(carry))]
     rows = _rows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True))))
     graph = Graph(rows.select("id", "text", "tag"), folder, window, hash_bits)
-    hits = graph.with_words(graph.hits())
+    runs = graph.runs()
+    release(spark)
+    verified = graph.with_words(runs)
     release(spark)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
 
     def touched(hits: DataFrame, copies: DataFrame, bitmap: str, name: str) -> DataFrame:
-        by_row = hits.withColumns({"tag": _tag("at"), "pos": _pos("at"), "spos": _pos("sat")}).groupBy("id", "tag").agg(F.collect_list(F.struct("pos", "len", "src", "spos", "sat", "words")).alias("hits"))
+        by_row = hits.groupBy("id", "tag").agg(F.collect_list(F.struct("pos", "len", "src", "sat", "words")).alias("hits"))
         some = rows.mapInArrow(_filter(bitmap), rows.schema).join(by_row, ["id", "tag"], "left").join(copies, ["id", "tag"], "left")
         done = some.select("id", "text", *names, "tag", "hits", "copy_of").mapInArrow(_finish(window, keep_text), f"{fields}, {RESULT}")
         return materialize(done, folder, name)
 
     # only documents that may have hits are shuffled with their texts
-    bitmap = _write_rows(hits.select("id", _tag("at").alias("tag")).union(graph.copies.select("id", "tag")).distinct(), folder, "touched")
-    some = touched(hits, graph.copies, bitmap, "results")
-    doubts = materialize(some.select(F.explode("doubts").alias("d")).select("d.src", "d.sat").distinct(), folder, "doubts")
+    bitmap = _write_rows(verified.select("id", "tag").union(graph.copies.select("id", "tag")).distinct(), folder, "touched")
+    some = touched(verified, graph.copies, bitmap, "results")
+    doubts = materialize(some.select(F.explode("doubts").alias("d")).select("d.src", "d.sat", "d.len").distinct(), folder, "doubts")
     if not doubts.isEmpty():
-        some = touched(graph.compared(hits, doubts), graph.copies, bitmap, "compared-results")
+        some = touched(graph.compared(verified, runs, doubts), graph.copies, bitmap, "compared-results")
     release(spark)
     out = rows.mapInArrow(_untouched(bitmap, window, keep_text), f"{fields}, {RESULT}").unionByName(some).drop("tag", "doubts")
     if clash := {id_col, *carry} & {f for f in out.columns if f not in ("id", *names)}:

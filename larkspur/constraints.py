@@ -45,9 +45,16 @@ def key_sets(table: Table) -> list[list[str]]:
     return primary + [[c.name] for c in table.unique if [c.name] not in primary]
 
 
+def within(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The old rows between the least and the largest new key: files and row groups outside are not read."""
+    low, high = new.agg(F.min(key), F.max(key)).first()
+    return old.where(F.lit(False)) if low is None else old.where(F.col(key).between(F.lit(low), F.lit(high)))
+
+
 def check_new_keys(new: DataFrame, old: DataFrame, sets: list[list[str]]) -> None:
-    """Neither the new rows among themselves nor with the old ones share a key. The old table is only semi-joined."""
+    """Neither the new rows among themselves nor with the old ones share a key. The old table is only semi-joined, and only read
+    where keys may meet."""
     for keys in sets:
         check_keys(new, keys)
-        if old.select(*keys).join(new.select(*keys), keys, "left_semi").limit(1).count():
+        if within(old, new, keys[0]).select(*keys).join(new.select(*keys), keys, "left_semi").limit(1).count():
             raise ConstraintError(f"duplicate value of {', '.join(keys)}")

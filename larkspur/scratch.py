@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -10,11 +9,15 @@ from pyspark.sql import SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Below spark.checkpoint.dir; where that is unset, as in tests, below a new temporary folder."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """Below spark.checkpoint.dir, on Hadoop's default file system if the setting names none. Where it is unset, a new temporary
+    folder serves a local master, as in tests; on a cluster, where executors would not share it, that is an error."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="larkspur-")
-        spark.sparkContext.setCheckpointDir(root)
-    if "://" not in root and not root.startswith("file:"):
-        root = "file://" + os.path.abspath(root)
-    return f"{root.rstrip('/')}/larkspur-{uuid.uuid4().hex}"
+        sc.setCheckpointDir(root)
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    root = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"{root.replace('file:/', 'file:///', 1) if root.startswith('file:/') and not root.startswith('file://') else root}/larkspur-{uuid.uuid4().hex}"

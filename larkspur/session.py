@@ -6,6 +6,8 @@ table; nothing is visible before the whole statement has been checked and, outsi
 
 from __future__ import annotations
 
+import random
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 
 from larkspur import dialect as D
 from larkspur.catalog import Catalog, Column, Manifest, Part, Table
-from larkspur.constraints import check_keys, check_new_keys, check_rows, key_sets
+from larkspur.constraints import check_keys, check_new_keys, check_rows, key_sets, within
 from larkspur.errors import CatalogError, ConstraintError, EngineError, SerializationError, SyntaxError_
 from larkspur.sources.delimited import read_delimited
 from larkspur.sources.store import Store
@@ -27,13 +29,24 @@ from larkspur.sources.store import Store
 
 @dataclass
 class Transaction:
-    """A pinned manifest, the tables changed since, and the tables read."""
+    """A pinned manifest, the tables changed since, the tables read, and the folders written."""
 
     pinned: Manifest
     serializable: bool
     changed: dict[str, Table | None] = field(default_factory=dict)
     appended: dict[str, list[Part]] = field(default_factory=dict)  # tables that were only appended to
     read: set[str] = field(default_factory=set)
+    written: list[str] = field(default_factory=list)
+
+    def saved(self) -> tuple:
+        return dict(self.changed), {k: list(v) for k, v in self.appended.items()}, len(self.written)
+
+    def restore(self, saved: tuple) -> list[str]:
+        """Undoes what has changed since; the folders written since."""
+        self.changed, self.appended, n = saved
+        late = self.written[n:]
+        del self.written[n:]
+        return late
 
     def tables(self) -> dict[str, Table]:
         out = dict(self.pinned.tables)
@@ -59,6 +72,12 @@ class Transaction:
         self.changed[name] = table
 
 
+PUBLISH_ATTEMPTS = 50
+KEPT_MANIFESTS, KEPT_SECONDS = 20, 3600.0
+#: Parts a table may have before the small ones are merged, and the bytes below which a part is small.
+MANY_PARTS, SMALL_BYTES = 32, 64 << 20
+
+
 class Engine:
     """`Engine(spark, folder).sql(text)`; isolation is "snapshot" or "serializable"."""
 
@@ -85,20 +104,38 @@ class Engine:
         if self.open is None:
             raise EngineError("no transaction is open")
         done, self.open = self.open, None
-        self._publish(done)
+        self._publish(done)  # on failure nothing refers to what it wrote
 
     def rollback(self) -> None:
         if self.open is None:
             raise EngineError("no transaction is open")
+        self._drop_folders(self.open.restore(({}, {}, 0)))
         self.open = None
 
+    def _drop_folders(self, paths: list[str]) -> None:
+        for path in paths:
+            self.store.delete(path)
+
+    @contextmanager
+    def _whole(self, txn: Transaction) -> Iterator[None]:
+        """What a failing statement has changed and written goes; outside a transaction a statement is published."""
+        saved = txn.saved()
+        try:
+            yield
+        except BaseException:
+            self._drop_folders(txn.restore(saved))
+            raise
+        if self.open is None:
+            self._publish(txn)
+
     @contextmanager
     def transaction(self) -> Iterator[Engine]:
         self.begin()
         try:
             yield self
         except BaseException:
-            self.open = None
+            if self.open is not None:
+                self.rollback()
             raise
         self.commit()
 
@@ -107,7 +144,16 @@ class Engine:
         appended and no key can clash; under serializable isolation no table it read may have changed."""
         if not txn.changed:
             return
-        while True:
+        try:
+            self._try_publish(txn)
+        except BaseException:
+            self._drop_folders(txn.restore(({}, {}, 0)))
+            raise
+
+    def _try_publish(self, txn: Transaction) -> None:
+        for attempt in range(PUBLISH_ATTEMPTS):
+            if attempt:  # another writer was faster
+                time.sleep(min(2.0, 0.01 * 2 ** min(attempt, 8)) * random.random())
             now = self.catalog.latest()
             moved = {n for n in {*now.tables, *txn.pinned.tables} if (a := now.tables.get(n)) is None or (b := txn.pinned.tables.get(n)) is None or a.changed != b.changed}
             tables = dict(now.tables)
@@ -126,6 +172,7 @@ class Engine:
                     tables[name] = replace(table, changed=version)
             if self.catalog.publish(Manifest(version, tables)):
                 return
+        raise SerializationError(f"{PUBLISH_ATTEMPTS} attempts to publish have failed")
 
     # statements
 
@@ -150,9 +197,11 @@ class Engine:
             self.rollback()
             return self._text("OK", ["ROLLBACK"])
         txn = self.open or Transaction(self.catalog.latest(), self.serializable)
-        out = self._run(r, txn)
+        with self._whole(txn):
+            out = self._run(r, txn)
         if self.open is None:
-            self._publish(txn)
+            for name in txn.appended:
+                self._tidy(name)
         return out
 
     def _run(self, r: D.Reader, txn: Transaction) -> DataFrame:
@@ -355,37 +404,46 @@ class Engine:
 
     # rows
 
-    def _write(self, df: DataFrame, t: Table) -> Part:
-        """Rows of the table's columns, in key order within each file for the sake of row-group statistics."""
+    def _write(self, df: DataFrame, t: Table, txn: Transaction, ranged: bool = False) -> Part:
+        """Rows of the table's columns, in key order within each file for the sake of row-group statistics (between files too
+        if ranged), with a bloom filter for each key."""
         path = f"{self.store.root}/data/{t.name}/{uuid.uuid4().hex}"
-        if t.primary:
-            df = df.sortWithinPartitions(*(c.name for c in t.primary))
-        df.select(*(F.col(c.name).alias(c.stored) for c in t.columns)).write.parquet(path)
+        keys = [c.name for c in t.primary]
+        if keys:
+            df = (df.repartitionByRange(*keys) if ranged else df).sortWithinPartitions(*keys)
+        writer = df.select(*(F.col(c.name).alias(c.stored) for c in t.columns)).write
+        for c in dict.fromkeys([*t.primary, *t.unique]):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c.stored}", "true")
+        txn.written.append(path)
+        writer.option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.candidates.number", "12").parquet(path)
         return Part(path, tuple(c.id for c in t.columns))
 
     def append(self, name: str, df: DataFrame, txn: Transaction | None = None, upsert: bool = False) -> int:
         """Appends (or upserts by primary key) rows of a DataFrame that has some of the table's columns; the others get
         their defaults. Returns the number of rows."""
-        own = txn or self.open or Transaction(self.catalog.latest(), self.serializable)
+        if txn is None:
+            own = self.open or Transaction(self.catalog.latest(), self.serializable)
+            with self._whole(own):
+                n = self._append(name, df, own, upsert)
+            if self.open is None:
+                self._tidy(name)
+            return n
+        return self._append(name, df, txn, upsert)
+
+    def _append(self, name: str, df: DataFrame, own: Transaction, upsert: bool) -> int:
         t = own.get(name)
         given = {c.lower() for c in df.columns}
         if unknown := given - {c.name for c in t.columns}:
             raise CatalogError(f"{name} has no column {', '.join(sorted(unknown))}")
         df = df.select(*((F.col(c.name) if c.name in given else F.lit(c.default)).cast(c.type.spark).alias(c.name) for c in t.columns))
-        part = self._write(df, t)  # written once; the checks read the files, and nothing refers to them if one fails
+        part = self._write(df, t, own)  # written once; the checks read the files, and nothing refers to them if one fails
         new = replace(t, parts=(part,)).read(self.spark)
-        try:
-            n = check_rows(new, list(t.columns))
-            if upsert:
-                self._upsert(t, new, part, own)
-            else:
-                check_new_keys(new, t.read(self.spark), key_sets(t))
-                own.put(name, replace(t, parts=(*t.parts, part)), part)
-        except Exception:
-            self.store.delete(part.path)
-            raise
-        if txn is None and self.open is None:
-            self._publish(own)
+        n = check_rows(new, list(t.columns))
+        if upsert:
+            self._upsert(t, new, part, own)
+        else:
+            check_new_keys(new, t.read(self.spark), key_sets(t))
+            own.put(name, replace(t, parts=(*t.parts, part)), part)
         return n
 
     def _upsert(self, t: Table, new: DataFrame, part: Part, txn: Transaction) -> None:
@@ -393,19 +451,33 @@ class Engine:
         if not keys:
             raise EngineError(f"{t.name} has no primary key")
         check_keys(new, keys)
-        touched, rest, _ = self._parts(t, t.read(self.spark, part=True).join(new.select(*keys), keys, "left_semi"))
+        touched, rest, _ = self._parts(t, within(t.read(self.spark, part=True), new, keys[0]).join(new.select(*keys), keys, "left_semi"))
         kept = replace(t, parts=tuple(touched)).read(self.spark).join(new.select(*keys), keys, "left_anti").select(*(c.name for c in t.columns))
-        after = replace(t, parts=(*rest, *([self._write(kept, t)] if touched else []), part))
+        after = replace(t, parts=(*rest, *([self._write(kept, t, txn)] if touched else []), part))
         for other in key_sets(t):
             if other != keys:
                 check_keys(after.read(self.spark), other)
         txn.put(t.name, after)
 
     def _parts(self, t: Table, rows: DataFrame) -> tuple[list[Part], list[Part], int]:
-        """The folders (`_part`) that rows come from, the others, and the number of rows. One job."""
-        found = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-        hit = [p for p in t.parts if p.path.rpartition("/")[2] in found]
-        return hit, [p for p in t.parts if p not in hit], sum(found.values())
+        """The files that rows (with their `_part`) come from, the others, and the number of rows. One job."""
+        files: dict[str, set[str]] = {}
+        n = 0
+        for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
+            folder, _, file = r["_part"].rpartition("/")
+            files.setdefault(folder, set()).add(file)
+            n += r["n"]
+        hit, rest = [], []
+        for p in t.parts:
+            own = files.get(p.path.rpartition("/")[2])
+            if own is None:
+                rest.append(p)
+                continue
+            hit.append(replace(p, files=tuple(sorted(own))))
+            others = set(p.files if p.files is not None else (x for x in self.store.names(p.path) if x.endswith(".parquet"))) - own
+            if others:
+                rest.append(replace(p, files=tuple(sorted(others))))
+        return hit, rest, n
 
     def _insert(self, r: D.Reader, txn: Transaction) -> DataFrame:
         upsert = r.take("overwrite")
@@ -435,14 +507,15 @@ class Engine:
     def _where(self, tokens: list[D.Token]) -> str:
         return D.render(D.to_spark(tokens, "")) if tokens else "true"
 
-    def _change(self, t: Table, where: str, make, txn: Transaction) -> int:
-        """Rewrites the folders that hold rows for which where is true; make gets their rows and the condition."""
+    def _change(self, t: Table, where: str, make, txn: Transaction) -> tuple[Table, int]:
+        """The table with those files rewritten that hold rows for which where is true, and the number of these; make gets the
+        files' rows and the condition."""
         hit, rest, n = self._parts(t, t.read(self.spark, part=True).where(where))
-        if n:
-            rows = replace(t, parts=tuple(hit)).read(self.spark)
-            part = self._write(make(rows, F.coalesce(F.expr(where), F.lit(False))), t)
-            txn.put(t.name, replace(t, parts=(*rest, part)))
-        return n
+        if not n:
+            return t, 0
+        rows = replace(t, parts=tuple(hit)).read(self.spark)
+        part = self._write(make(rows, F.coalesce(F.expr(where), F.lit(False))), t, txn)
+        return replace(t, parts=(*rest, part)), n
 
     def _update(self, r: D.Reader, txn: Transaction) -> DataFrame:
         t = txn.get(r.name())
@@ -458,19 +531,22 @@ class Engine:
         def make(rows: DataFrame, hit) -> DataFrame:
             return rows.select(*(F.when(hit, sets[c.name]).otherwise(F.col(c.name)).alias(c.name) if c.name in sets else F.col(c.name) for c in t.columns))
 
-        n = self._change(t, where, make, txn)
-        if n:
-            after = txn.get(t.name).read(self.spark)
-            check_rows(after.select(*sets), [c for c in t.columns if c.name in sets])
+        new, n = self._change(t, where, make, txn)
+        if n:  # checked before the transaction sees it
+            check_rows(replace(new, parts=new.parts[-1:]).read(self.spark).select(*sets), [c for c in t.columns if c.name in sets])
             for keys in key_sets(t):
                 if set(keys) & set(sets):
-                    check_keys(after, keys)
+                    check_keys(new.read(self.spark), keys)
+            txn.put(t.name, new)
         return self._count(n)
 
     def _delete(self, r: D.Reader, txn: Transaction) -> DataFrame:
         t = txn.get(r.name())
         where = self._where(r.rest()[1:] if r.peek() == "where" else r.rest())
-        return self._count(self._change(t, where, lambda rows, hit: rows.where(~hit), txn))
+        new, n = self._change(t, where, lambda rows, hit: rows.where(~hit), txn)
+        if n:
+            txn.put(t.name, new)
+        return self._count(n)
 
     def _copy(self, r: D.Reader, txn: Transaction) -> DataFrame:
         t = txn.get(r.name())
@@ -491,11 +567,53 @@ class Engine:
         df = read_delimited(self.spark, path, fields, options["delimiter"], options["header"] == "true", options["quote"], options["escape"])
         return self._text("COPY", [f"import {self.append(t.name, df, txn)} rows"])
 
-    def compact(self, name: str) -> None:
-        """Rewrites all folders of a table as one."""
+    def _size(self, part: Part) -> int:
+        return self.store.size(part.paths)
+
+    def compact(self, name: str, small: int | None = None) -> None:
+        """Rewrites the parts of a table that have fewer than `small` bytes (all of them if None) as one, in key order over all
+        its files."""
         own = self.open or Transaction(self.catalog.latest(), self.serializable)
-        t = own.get(name)
-        if len(t.parts) > 1:
-            own.put(name, replace(t, parts=(self._write(t.read(self.spark), t),)))
-        if self.open is None:
-            self._publish(own)
+        with self._whole(own):
+            t = own.get(name)
+            parts = [p for p in t.parts if small is None or self._size(p) < small]
+            if len(parts) > 1:
+                part = self._write(replace(t, parts=tuple(parts)).read(self.spark), t, own, ranged=True)
+                own.put(name, replace(t, parts=(*(p for p in t.parts if p not in parts), part)))
+
+    def _tidy(self, name: str) -> None:
+        """Merges small parts once there are many. Losing the race against another writer does no harm."""
+        t = self.catalog.latest().tables.get(name)
+        if t is not None and len(t.parts) > MANY_PARTS:
+            try:
+                self.compact(name, SMALL_BYTES)
+            except SerializationError:
+                pass
+
+    def vacuum(self, keep: int = KEPT_MANIFESTS, seconds: float = KEPT_SECONDS) -> int:
+        """Removes old manifests, and folders and files that no remaining one refers to (those of dropped tables, replaced or
+        left by crashed writers), unless they changed within `seconds`: a running transaction may still publish them. Returns
+        how many folders and files went."""
+        used: dict[str, set[str] | None] = {}
+        for m in self.catalog.forget(keep, seconds):
+            for t in m.tables.values():
+                for p in t.parts:
+                    known = used.get(p.path, set())
+                    used[p.path] = None if p.files is None or known is None else known | set(p.files)
+        gone = 0
+        for table in self.store.names("data"):
+            for folder in self.store.names(f"data/{table}"):
+                path = f"{self.store.root}/data/{table}/{folder}"
+                if self.store.age(path) < seconds:
+                    continue
+                if path not in used:
+                    self.store.delete(path)
+                    gone += 1
+                elif used[path] is not None:
+                    for f in self.store.names(path):
+                        if f.endswith(".parquet") and f not in used[path]:
+                            self.store.delete(f"{path}/{f}")
+                            gone += 1
+            if not self.store.names(f"data/{table}"):
+                self.store.delete(f"data/{table}")
+        return gone

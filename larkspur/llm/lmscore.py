@@ -3,15 +3,15 @@ arrays in the shared folder and memory-mapped by the workers that score.
 
 Steps, all sizes following the corpus:
 
-1. Words of the training documents are counted by hash. The vocabulary is written as sorted hash arrays, a file for each
-   range of hashes; a word's number is its place in that order.
-2. Bigrams (with a start and an end token for each text) are counted by key `first * V + second`. A key's file follows
+1. Words of the training documents are counted by two hashes, 127 bits together. The vocabulary is written as sorted hash
+   arrays, a file for each range of hashes; a word's number is its place in that order.
+2. Bigrams (with a start and an end token for each text) are counted by the numbers of both words. A pair's file follows
    from the words' cumulated counts, so that files hold alike many tokens, a frequent first word is spread over several
    files, and files are in key order without sampling. Tasks send each file's sorted keys as blobs of byte planes.
 3. Each file's task merges its keys and counts; continuation counts of second words and counts of counts of first words
    are added up by vocabulary range.
-4. Order 3: a bigram's number is its place in the files. Trigrams are counted by key `bigram number * V + third`, in the
-file of their first two words: each file has its bigrams' third words in order, and their counts. Distinct words before
+4. Order 3: a bigram's number is its place in the files. Trigrams are counted by bigram number and third word, in the file
+of their first two words: each file has its bigrams' third words in order, and their counts. Distinct words before
 each bigram then go to groups of bigram files, which add them up.
 5. Scoring maps the arrays and looks up sorted keys.
 
@@ -42,10 +42,12 @@ from larkspur.llm.shared import map_array, materialize, put_arrays, put_bytes, r
 
 CHUNK = 4 << 20
 VOCABULARY_ROWS = 1 << 18  # words of a vocabulary file, about
-FILE_TOKENS = 1 << 19  # tokens of a bigram file, about
+FILE_TOKENS, MOST_TOKENS = 1 << 19, 1 << 24  # tokens of a bigram file, about: as few as make WAVES files for each core
+WAVES = 32
 GROUP = 16  # bigram files whose continuation counts one task adds up
 MERGE = 1 << 22  # keys that are merged at once, about
 START, END = np.int64(1), np.int64(2)  # hashes of the start and end tokens
+KEY_LIMIT = 1 << 63
 
 _maps: dict[str, np.ndarray] = {}
 
@@ -111,38 +113,79 @@ def unpack(data: bytes, dtype: type = np.int64) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
 
 
-def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def keyed(*pairs: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """One number for each pair, in the pairs' order, whatever their size: numbers that would not fit 63 bits are taken among
+    those that occur."""
+    some = [(a, b) for a, b in pairs if len(a)]
+    if not some:
+        return [a for a, _ in pairs]
+    low, high, width = min(int(a.min()) for a, _ in some), max(int(a.max()) for a, _ in some), max(int(b.max()) for _, b in some) + 1
+    if (high - low + 1) * width < KEY_LIMIT:
+        return [(a - low) * width + b for a, b in pairs]
+    left, right = (np.unique(np.concatenate([p[k] for p in some])) for k in (0, 1))
+    return [np.searchsorted(left, a) * len(right) + np.searchsorted(right, b) for a, b in pairs]
+
+
+def _merge(a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs, and their counts added up."""
+    keys = keyed((a, b))[0]
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
+    keys = keys[order]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.add.reduceat(counts, at) if len(at) else counts[:0]
+    first = order[at]
+    return a[first], b[first], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
+
+
+def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _merge(a, b, np.ones(len(a), np.int64))
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs, and of each pair its place among them."""
+    _, first, at = np.unique(keyed((a, b))[0], return_index=True, return_inverse=True)
+    return a[first], b[first], at
+
 
+def _blob(a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    return pack(np.diff(a, prepend=0)), pack(b), pack(counts, np.uint32)
 
-def _merge_blobs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of a file's blobs; repeated keys are added up on the way."""
-    held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
-    for k, c in zip(t["k"], t["c"], strict=True):
-        held.append((np.cumsum(unpack(k.as_py())), unpack(c.as_py(), np.uint32).astype(np.int64)))
+
+_BLOBS = [("k", pa.binary()), ("l", pa.binary()), ("c", pa.binary())]
+
+
+def _merge_blobs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs and counts of a file's blobs; repeated pairs are added up on the way."""
+    held, size = [(np.zeros(0, np.int64),) * 3], 0
+    for k, l, c in zip(t["k"], t["l"], t["c"], strict=True):
+        held.append((np.cumsum(unpack(k.as_py())), unpack(l.as_py()), unpack(c.as_py(), np.uint32).astype(np.int64)))
         size += len(held[-1][0])
         if size > MERGE:
-            held, size = [_merge(*map(np.concatenate, zip(*held, strict=True)))], 0
+            held = [_merge(*map(np.concatenate, zip(*held, strict=True)))]
+            size = 0
     return _merge(*map(np.concatenate, zip(*held, strict=True)))
 
 
-def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each document's words and its end token, in order, and their bounds per document."""
+def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens' two hashes, in order of the first; for each word and end token its place in them; their bounds per
+    document."""
     w = K.split_words(buf, offsets, K.NOT_SPACE, lower=True)
-    h = (w.hashes >> np.uint64(1)).astype(np.int64)
-    return np.insert(h, w.first[1:], END), w.first + np.arange(w.n_docs + 1)
+    first = w.first + np.arange(w.n_docs + 1)
+    h = np.insert((w.hashes >> np.uint64(1)).astype(np.int64), w.first[1:], END)
+    u, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+    g, real = np.zeros(len(u), np.int64), np.flatnonzero(u != END)
+    word = at[real] - (np.searchsorted(first, at[real], "right") - 1)
+    if len(word):
+        g[real] = K.hashes(K.LOWER[buf], w.starts[word], w.ends[word], 1).view(np.int64)
+    return u, g, inverse, first
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, end, buf, offsets in K.chunks(batch["text"], CHUNK):
-            h, _ = tokens(buf, offsets)
-            u, c = np.unique(h, return_counts=True)
-            u, c = np.append(u, START), np.append(c, len(offsets) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c.astype(np.int64))], names=["h", "c"])
+            u, g, inverse, _ = tokens(buf, offsets)
+            c = np.bincount(inverse, minlength=len(u))
+            cols = np.append(u, START), np.append(g, 0), np.append(c, len(offsets) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], names=["h", "g", "c"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
@@ -168,8 +211,8 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa
 def _write_words(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, t in _runs(batches, "part"):
-            h, c = t["h"].to_numpy(), t["c"].to_numpy()
-            put_arrays(f"{folder}/words-{part}", h=h, c=c, sum=np.cumsum(c) - c)
+            h, g, c = (t[x].to_numpy() for x in ("h", "g", "c"))
+            put_arrays(f"{folder}/words-{part}", h=h, g=g, c=c, sum=np.cumsum(c) - c)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([len(h)], pa.int64()), pa.array([c.sum()], pa.int64())], names=["part", "n", "tokens"])
 
     return run
@@ -184,7 +227,7 @@ class Model:
     base: np.ndarray  # number of the first word of each vocabulary part, and the end
     base_tokens: np.ndarray  # tokens before each vocabulary part, start tokens included
     documents: int
-    order: int = 2
+    order: int = 3
     files: int = 1
     pair_base: np.ndarray = field(default_factory=lambda: np.zeros(2, np.int64))  # number of each file's first bigram, and the end
     start: int = -1  # number of the start token
@@ -207,17 +250,27 @@ class Model:
     def tokens(self) -> int:
         return int(self.base_tokens[-1]) - self.documents
 
-    def look_up(self, h: np.ndarray) -> np.ndarray:
-        """Numbers of sorted hashes; -1 where unknown."""
+    @property
+    def word(self) -> type:
+        """Type of a stored word number."""
+        return np.uint32 if self.size < 1 << 32 else np.uint64
+
+    def look_up(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Numbers of words by their hashes, sorted by the first; -1 where unknown."""
         out = np.full(len(h), -1, np.int64)
         part = h >> self.shift
         for a, b in _spans(part):
             p = int(part[a])
             n = int(self.base[p + 1] - self.base[p])
             if n:
-                known = _map(f"{self.folder}/words-{p}.h", np.int64)
-                at = np.minimum(np.searchsorted(known, h[a:b]), n - 1)
-                out[a:b] = np.where(known[at] == h[a:b], at + self.base[p], -1)
+                known, other = (_map(f"{self.folder}/words-{p}.{x}", np.int64) for x in "hg")
+                at = np.searchsorted(known, h[a:b])
+                todo = np.arange(b - a)
+                while len(todo := todo[at[todo] < n]) and len(todo := todo[known[at[todo]] == h[a + todo]]):
+                    same = other[at[todo]] == g[a + todo]
+                    out[a + todo[same]] = at[todo[same]] + self.base[p]
+                    todo = todo[~same]  # words that share the first hash follow each other
+                    at[todo] += 1
         return out
 
     def column(self, name: str, numbers: np.ndarray, dtype: type) -> np.ndarray:
@@ -236,28 +289,28 @@ class Model:
         at = start[inverse] + count[inverse] * (second / self.size)
         return np.minimum((at * (self.files / float(self.base_tokens[-1]))).astype(np.int64), self.files - 1)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Numbers of sorted bigram keys; -1 where unknown."""
-        out = np.full(len(keys), -1, np.int64)
-        file = self.file_of(keys // self.size, keys % self.size)
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Numbers of sorted bigrams; -1 where unknown."""
+        out = np.full(len(first), -1, np.int64)
+        file = self.file_of(first, second)
         for a, b in _spans(file):
             base = self.pair_base[file[a]]
             if base < self.pair_base[file[a] + 1]:
                 firsts, starts, seconds = self.pairs_of(file[a])[:3]
-                first = keys[a:b] // self.size
-                at = np.minimum(np.searchsorted(firsts, first), len(firsts) - 1)
-                place, hit = search(seconds, starts[at], np.where(firsts[at] == first, starts[at + 1], starts[at]), keys[a:b] % self.size)
+                own = first[a:b]
+                at = np.minimum(np.searchsorted(firsts, own), len(firsts) - 1)
+                place, hit = search(seconds, starts[at], np.where(firsts[at] == own, starts[at + 1], starts[at]), second[a:b])
                 out[a + hit] = place[hit] + base
         return out
 
     def pairs_of(self, file: int) -> list[np.ndarray]:
         """A file's distinct first words, where the bigrams of each begin (and the end), second words, counts."""
-        return sections(f"{self.folder}/pairs-{file}", np.uint32, np.uint32, np.uint32, np.uint8, np.int64)
+        return sections(f"{self.folder}/pairs-{file}", self.word, np.uint32, self.word, np.uint8, np.int64)
 
     def trigrams_of(self, file: int) -> list[np.ndarray]:
         """Where the trigrams of every 16th bigram begin, and how far behind it those of each (and the end) do; how many of each
         bigram's occur once, and twice; third words, counts."""
-        return sections(f"{self.folder}/trigrams-{file}", np.uint32, *(np.uint8, np.int64) * 3, np.uint32, np.uint8, np.int64)
+        return sections(f"{self.folder}/trigrams-{file}", np.uint32, *(np.uint8, np.int64) * 3, self.word, np.uint8, np.int64)
 
     def of_pairs(self, name: str, numbers: np.ndarray) -> np.ndarray:
         """Counts (c), or distinct words before (a), of sorted bigram numbers."""
@@ -280,15 +333,14 @@ class Model:
             out[2, a:b] = size - out[0, a:b] - out[1, a:b]
         return out
 
-    def trigrams(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted trigram keys."""
-        out = np.zeros(len(keys), np.int64)
-        pair = keys // self.size
+    def trigrams(self, pair: np.ndarray, third: np.ndarray) -> np.ndarray:
+        """Counts of sorted trigrams, by their bigram and third word."""
+        out = np.zeros(len(pair), np.int64)
         file = np.searchsorted(self.pair_base, pair, "right") - 1
         for a, b in _spans(file):
             every, behind, over, *_, thirds, c, c_over = self.trigrams_of(file[a])
             at = pair[a:b] - self.pair_base[file[a]]
-            place, hit = search(thirds, _start(every, behind, over, at), _start(every, behind, over, at + 1), keys[a:b] % self.size)
+            place, hit = search(thirds, _start(every, behind, over, at), _start(every, behind, over, at + 1), third[a:b])
             out[a + hit] = small_at(c, c_over, place[hit])
         return out
 
@@ -306,9 +358,8 @@ def _spans(x: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _keys(model: Model, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Hashes seen and their numbers; for each token its place in them; token bounds; the start token's number."""
-    h, first = tokens(buf, offsets)
-    u, inverse = np.unique(h, return_inverse=True)
-    return u, model.look_up(u), inverse, first, int(model.look_up(np.array([START]))[0])
+    u, g, inverse, first = tokens(buf, offsets)
+    return u, model.look_up(u, g), inverse, first, int(model.look_up(np.array([START]), np.zeros(1, np.int64))[0])
 
 
 def _before(number: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
@@ -325,11 +376,8 @@ def _pairs(model: Model):
             for _, _, buf, offsets in K.chunks(batch["text"], CHUNK):
                 _, numbers, inverse, first, start = _keys(model, buf, offsets)
                 number = numbers[inverse]
-                keys, counts = np.unique(_before(number, first, start) * model.size + number, return_counts=True)
-                file = model.file_of(keys // model.size, keys % model.size)
-                rows = [(int(file[a]), pack(np.diff(keys[a:b], prepend=0)), pack(counts[a:b], np.uint32)) for a, b in _spans(file)]
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["file", "k", "c"])
+                left, right, counts = _counted(_before(number, first, start), number)
+                yield _blobs(model.file_of(left, right), left, right, counts)
 
     return run
 
@@ -340,18 +388,21 @@ def _trigrams(model: Model):
             for _, _, buf, offsets in K.chunks(batch["text"], CHUNK):
                 _, numbers, inverse, first, start = _keys(model, buf, offsets)
                 number = numbers[inverse]
-                keys, at = np.unique(_before(number, first, start) * model.size + number, return_inverse=True)
-                pair, later = model.find(keys)[at], _later(first)
-                keys, counts = np.unique(pair[later - 1] * model.size + number[later], return_counts=True)
-                file = np.searchsorted(model.pair_base, keys // model.size, "right") - 1
-                rows = [(int(file[a]), pack(np.diff(keys[a:b], prepend=0)), pack(counts[a:b], np.uint32)) for a, b in _spans(file)]
-                if rows:
-                    cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["file", "k", "c"])
+                left, right, at = _distinct(_before(number, first, start), number)
+                pair, later = model.find(left, right)[at], _later(first)
+                pair, third, counts = _counted(pair[later - 1], number[later])
+                yield _blobs(np.searchsorted(model.pair_base, pair, "right") - 1, pair, third, counts)
 
     return run
 
 
+def _blobs(file: np.ndarray, a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """A row of blobs for each file."""
+    rows = [(int(file[i]), *_blob(a[i:j], b[i:j], counts[i:j])) for i, j in _spans(file)]
+    cols = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, [("file", pa.int64()), *_BLOBS], strict=True)], names=["file", *(n for n, _ in _BLOBS)])
+
+
 def _later(first: np.ndarray) -> np.ndarray:
     """Places of the tokens that are not their document's first."""
     later = np.ones(first[-1], bool)
@@ -360,25 +411,24 @@ def _later(first: np.ndarray) -> np.ndarray:
 
 
 def _write_trigrams(model: Model):
-    """Merges each file. Rows (grp, kind, k, c): kind 0 bigrams and distinct words before them, 1 the file's counts of counts."""
+    """Merges each file. Rows (grp, kind, k, l, c): kind 0 bigrams and distinct words before them, 1 the file's counts of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, t in _runs(batches, "file"):
-            keys, counts = _merge_blobs(t)
+            context, third, counts = _merge_blobs(t)
             n = int(model.pair_base[file + 1] - model.pair_base[file])
-            context, third = keys // model.size - model.pair_base[file], keys % model.size
-            del keys
+            context -= model.pair_base[file]
             starts = np.searchsorted(context, np.arange(n + 1))
             n1, n2 = (np.bincount(context[counts == k], minlength=n) for k in (1, 2))
             behind = starts - starts[::16].repeat(16)[: n + 1]
-            put_sections(f"{model.folder}/trigrams-{file}", starts[::16].astype(np.uint32), *small(behind), *small(n1), *small(n2), third.astype(np.uint32), *small(counts))
-            rows = [(file // GROUP, 1, b"", pack(np.bincount(np.minimum(counts, 5), minlength=6)[1:], np.uint32))]
+            put_sections(f"{model.folder}/trigrams-{file}", starts[::16].astype(np.uint32), *small(behind), *small(n1), *small(n2), third.astype(model.word), *small(counts))
+            rows = [(file // GROUP, 1, b"", b"", pack(np.bincount(np.minimum(counts, 5), minlength=6)[1:], np.uint32))]
             if len(third):
-                u, c = np.unique(model.pairs_of(file)[2][context].astype(np.int64) * model.size + third, return_counts=True)
-                group = model.file_of(u // model.size, u % model.size) // GROUP
-                rows += [(int(group[a]), 0, pack(np.diff(u[a:b], prepend=0)), pack(c[a:b], np.uint32)) for a, b in _spans(group)]
-            cols = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["grp", "kind", "k", "c"])
+                left, right, c = _counted(model.pairs_of(file)[2][context].astype(np.int64), third)
+                group = model.file_of(left, right) // GROUP
+                rows += [(int(group[a]), 0, *_blob(left[a:b], right[a:b], c[a:b])) for a, b in _spans(group)]
+            cols = zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), *(t for _, t in _BLOBS)], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["grp", "kind", *(n for n, _ in _BLOBS)])
 
     return run
 
@@ -391,17 +441,19 @@ def _write_continuations(model: Model):
         for group, t in _runs(batches, "grp"):
             kind = t["kind"].to_numpy()
             seen = sum(unpack(x.as_py(), np.uint32).astype(np.int64) for x in t.filter(pa.array(kind == 1))["c"])
-            keys, counts = _merge_blobs(t.filter(pa.array(kind == 0)))
+            left, right, counts = _merge_blobs(t.filter(pa.array(kind == 0)))
             rows = [(group * GROUP, -1, 6, pack(np.arange(5)), pack(seen))]
             for file in range(group * GROUP, min(group * GROUP + GROUP, model.files)):
                 if model.pair_base[file] == model.pair_base[file + 1]:
                     continue
                 firsts, starts, seconds, *counted = model.pairs_of(file)
                 first = firsts.astype(np.int64).repeat(np.diff(starts))
-                known = first * model.size + seconds
-                low, high = np.searchsorted(keys, known[0]), np.searchsorted(keys, known[-1], "right")
+                low, high = np.searchsorted(left, first[0]), np.searchsorted(left, first[-1], "right")
+                known, keys = keyed((first, seconds.astype(np.int64)), (left[low:high], right[low:high]))
+                inside = np.searchsorted(keys, (known[0], known[-1] + 1))
+                keys, low, high = keys[inside[0] : inside[1]], low + inside[0], low + inside[1]
                 a = np.where(first == model.start, small_at(*counted, slice(None)), 0)
-                a[np.searchsorted(known, keys[low:high])] = counts[low:high]
+                a[np.searchsorted(known, keys)] = counts[low:high]
                 put_sections(f"{model.folder}/before-{file}", *small(a))
                 rows.append((file, -1, 4, pack(np.arange(5)), pack(np.bincount(np.minimum(a, 5), minlength=6)[1:])))
                 u, at = np.unique(first, return_index=True)
@@ -423,12 +475,12 @@ def _write_pairs(model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, t in _runs(batches, "file"):
-            keys, counts = _merge_blobs(t)
-            firsts, starts = np.unique(keys // model.size, return_index=True)
-            put_sections(f"{model.folder}/pairs-{file}", firsts.astype(np.uint32), np.append(starts, len(keys)).astype(np.uint32), (keys % model.size).astype(np.uint32), *small(counts))
-            rows = [(file, -1, 4, pack(np.arange(5)), pack(np.append(np.bincount(np.minimum(counts, 5), minlength=6)[1:5], len(keys))))]
+            left, right, counts = _merge_blobs(t)
+            firsts, starts = np.unique(left, return_index=True)
+            put_sections(f"{model.folder}/pairs-{file}", firsts.astype(model.word), np.append(starts, len(left)).astype(np.uint32), right.astype(model.word), *small(counts))
+            rows = [(file, -1, 4, pack(np.arange(5)), pack(np.append(np.bincount(np.minimum(counts, 5), minlength=6)[1:5], len(left))))]
             for kind in range(4 if model.order == 2 else 1):
-                words = np.sort(keys % model.size) if kind == 0 else (keys // model.size)[counts == kind if kind < 3 else counts > 2]
+                words = np.sort(right) if kind == 0 else left[counts == kind if kind < 3 else counts > 2]
                 u, n = np.unique(words, return_counts=True)
                 part = np.searchsorted(model.base, u, "right") - 1
                 rows += [(file, int(part[a]), kind, pack(np.diff(u[a:b], prepend=0)), pack(n[a:b])) for a, b in _spans(part)]
@@ -465,29 +517,28 @@ def _discount(levels: list[float], counts: np.ndarray) -> np.ndarray:
     return np.array([0.0, *levels])[np.minimum(counts, 3)]
 
 
-def build(train: DataFrame, folder: str, order: int = 2) -> Model:
+def build(train: DataFrame, folder: str, order: int = 3) -> Model:
     """train: text. Counts, and the arrays in folder."""
     if order not in (2, 3):
         raise ValueError("order must be 2 or 3")
     spark = train.sparkSession
-    words = materialize(train.mapInArrow(_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), folder, "words")
+    words = materialize(train.mapInArrow(_words, "h long, g long, c long").groupBy("h", "g").agg(F.sum("c").alias("c")), folder, "words")
     n = words.count()
-    if n >= 3_000_000_000:
-        raise ValueError("more than 3e9 distinct words")
     bits = max(0, (max(n, 1) // VOCABULARY_ROWS).bit_length())
     parts = 1 << bits
     sized = words.withColumn("part", F.shiftright("h", 63 - bits) if bits else F.lit(0).cast("long"))
-    found = sized.repartition("part").sortWithinPartitions("part", "h").mapInArrow(_write_words(folder), "part long, n long, tokens long").collect()
+    found = sized.repartition("part").sortWithinPartitions("part", "h", "g").mapInArrow(_write_words(folder), "part long, n long, tokens long").collect()
     sizes, totals = np.zeros(parts, np.int64), np.zeros(parts, np.int64)
     for r in found:
         sizes[r.part], totals[r.part] = r.n, r.tokens
-    documents = words.where(F.col("h") == int(START)).first()
+    documents = words.where((F.col("h") == int(START)) & (F.col("g") == 0)).first()
     model = Model(folder, 63 - bits, np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(totals)]), documents.c if documents else 0, order)
     if not n:
         return model
-    model.files = int(-(-model.base_tokens[-1] // FILE_TOKENS))
+    total = int(model.base_tokens[-1])
+    model.files = -(-total // max(FILE_TOKENS, min(MOST_TOKENS, total // (WAVES * spark.sparkContext.defaultParallelism))))
     release(spark)
-    pairs = train.mapInArrow(_pairs(model), "file long, k binary, c binary").repartition("file").sortWithinPartitions("file")
+    pairs = train.mapInArrow(_pairs(model), "file long, k binary, l binary, c binary").repartition("file").sortWithinPartitions("file")
     sums = materialize(pairs.mapInArrow(_write_pairs(model), "file long, part long, kind long, at binary, n binary").repartition("part"), folder, "sums")
     release(spark)
     of_counts, sizes = np.zeros(5, np.int64), np.zeros(model.files, np.int64)
@@ -496,12 +547,10 @@ def build(train: DataFrame, folder: str, order: int = 2) -> Model:
         sizes[r.file] = row[4]
     model.pair_base, model.pairs = np.concatenate([[0], np.cumsum(sizes)]), int(of_counts[4])
     if order == 3:
-        if model.pairs * model.size >= 1 << 63:
-            raise ValueError("too many distinct bigrams and words")
-        model.start = int(model.look_up(np.array([START]))[0])
-        every = spark.range(model.files).select(F.col("id").alias("file"), F.lit(b"").alias("k"), F.lit(b"").alias("c"))  # so that each file is written
-        trigrams = train.mapInArrow(_trigrams(model), "file long, k binary, c binary").union(every).repartition("file").sortWithinPartitions("file")
-        lower = trigrams.mapInArrow(_write_trigrams(model), "grp long, kind long, k binary, c binary").repartition("grp").sortWithinPartitions("grp")
+        model.start = int(model.look_up(np.array([START]), np.zeros(1, np.int64))[0])
+        every = spark.range(model.files).select(F.col("id").alias("file"), *(F.lit(b"").alias(x) for x in "klc"))  # so that each file is written
+        trigrams = train.mapInArrow(_trigrams(model), "file long, k binary, l binary, c binary").union(every).repartition("file").sortWithinPartitions("file")
+        lower = trigrams.mapInArrow(_write_trigrams(model), "grp long, kind long, k binary, l binary, c binary").repartition("grp").sortWithinPartitions("grp")
         lower = materialize(lower.mapInArrow(_write_continuations(model), "file long, part long, kind long, at binary, n binary"), folder, "lower")
         release(spark)
         of_counts, of_trigrams = np.zeros(5, np.int64), np.zeros(5, np.int64)
@@ -551,8 +600,8 @@ def score_chunk(model: Model, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.
     p = p1[inverse]
     p *= back
     both = np.flatnonzero(has & known[inverse])
-    keys, at = np.unique(before_known[context[both]] * model.size + numbers[inverse[both]], return_inverse=True)
-    pair, c = model.find(keys), np.zeros(len(keys), np.int64)
+    left, right, at = _distinct(before_known[context[both]], numbers[inverse[both]])
+    pair, c = model.find(left, right), np.zeros(len(left), np.int64)
     c[pair >= 0] = model.of_pairs("c" if model.order == 2 else "a", pair[pair >= 0])
     c = c[at]
     p[both] += np.maximum(c - _discount(model.level2, c), 0) / total[context[both]]
@@ -565,8 +614,8 @@ def score_chunk(model: Model, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.
         p[later] *= ((np.array(model.level3) @ model.contexts(u)) / total)[at]
         seen = known[inverse[later]]
         later, at = later[seen], at[seen]
-        keys, place = np.unique(u[at] * model.size + numbers[inverse[later]], return_inverse=True)
-        c = model.trigrams(keys)[place]
+        left, right, place = _distinct(u[at], numbers[inverse[later]])
+        c = model.trigrams(left, right)[place]
         p[later] += np.maximum(c - _discount(model.level3, c), 0) / total[at]
     return n_tokens, n_known, base_score, K.segment_sum(np.log10(p), first)
 
@@ -582,7 +631,7 @@ def _score(model: Model):
     return run
 
 
-def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", order: int = 3) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (log10) of every row."""
     rows = docs.select(F.col(id_col).alias("id"), (fold(id_col, folds) == held_out).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     model = build(rows.where("NOT held_out").select("text"), shared_dir(docs.sparkSession), order)
@@ -591,6 +640,6 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col: str
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def model_scores(documents: DataFrame, order: int = 2) -> DataFrame:
-    """The op8 digest, which the query takes at order 3."""
+def model_scores(documents: DataFrame, order: int = 3) -> DataFrame:
+    """The op8 digest."""
     return score_texts(documents, order=order)

@@ -53,3 +53,32 @@ def test_trigram_query(spark, tmp_path, monkeypatch, tokens):
     for i, s in seqs:
         want = sum(math.log10(p(*s[max(0, k - 2) : k + 1])) for k in range(1, len(s)))
         assert any(abs(x - want) < 1e-6 for x in got[i]), (i, want, got[i])
+
+
+def test_pairs_of_any_size():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    a, b = rng.integers(0, 1 << 62, 500), rng.integers(0, 1 << 61, 500)
+    a, b = np.concatenate([a, a[:100]]), np.concatenate([b, b[:50], b[:50]])
+    for x, y in ((a, b), (a % 50, b % 7)):
+        want = sorted(Counter(zip(x.tolist(), y.tolist())).items())
+        left, right, n = lmscore._counted(x, y)
+        assert [((p, q), k) for p, q, k in zip(left.tolist(), right.tolist(), n.tolist())] == want
+        left, right, at = lmscore._distinct(x, y)
+        assert (left[at] == x).all() and (right[at] == y).all()
+        one, two = lmscore.keyed((x, y), (x[:30], y[:30]))
+        assert (one[:30] == two).all() and (np.argsort(one, kind="stable") == np.lexsort((y, x))).all()
+    none = np.zeros(0, np.int64)
+    assert [len(k) for k in lmscore.keyed((none, none))] == [0] and len(lmscore._counted(none, none)[2]) == 0
+
+
+def test_words_that_share_the_first_hash(tmp_path):
+    import numpy as np
+
+    from larkspur.llm.shared import put_arrays
+
+    h, g = np.array([3, 7, 7, 7, 9]), np.array([1, -5, 2, 8, 1])
+    put_arrays(f"file://{tmp_path}/words-0", h=h, g=g)
+    model = lmscore.Model(f"file://{tmp_path}", 63, np.array([0, 5]), np.array([0, 5]), 1)
+    assert model.look_up(np.array([3, 3, 7, 7, 7, 7, 9, 12]), np.array([1, 2, 8, -5, 9, 2, 1, 1])).tolist() == [0, -1, 3, 1, -1, 2, 4, -1]

@@ -485,7 +485,7 @@ def test_lm(docs, nothing):
 
     assert abs(sum(p2("<s>", w) for w in a) + p2("<s>", "not there") * (V + 1 - len(a)) - 1) < 1e-9
     got = defaultdict(list)
-    for r in lmscore.model_scores(docs).collect():
+    for r in lmscore.model_scores(docs, order=2).collect():
         got[r.doc_id].append(tuple(r))
     for i, s in seqs:
         base = sum(math.log10((c[w] + 1) / (N + V + 1)) for w in s)

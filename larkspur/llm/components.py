@@ -11,8 +11,9 @@ from larkspur.llm.shared import materialize
 def connected_components(edges: DataFrame, folder: str) -> DataFrame:
     """edges (a long, b long), any direction. Returns (node, root): root is the least node of the component.
 
-    Alternates large-star and small-star steps until nothing changes. Every step aggregates to one minimum a node before
-    it joins, so no node's neighbours are gathered in one place, and is written to the shared folder.
+    Alternates large-star and small-star steps until nothing changes. Every step aggregates to one minimum a node, which is
+    written down before it joins: the join's side of minima has one row a node, so that Spark can split the edges of a hub
+    over several tasks.
     """
     now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), folder, "cc-0")
     step = 0
@@ -20,10 +21,11 @@ def connected_components(edges: DataFrame, folder: str) -> DataFrame:
     while True:
         # large star: each larger neighbour links to the least of the neighbourhood
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), folder, f"cc-least-{step}")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = materialize(large, folder, f"cc-large-{step}")
         # small star: smaller neighbours and the node link to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), folder, f"cc-small-{step}")
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         step += 1
         new = materialize(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), folder, f"cc-{step}")

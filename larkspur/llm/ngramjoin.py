@@ -7,9 +7,10 @@ none, is one gram. Steps:
    similarity s share a key with probability 1 - (1 - s**ROWS)**BANDS: 1 - 1.5e-5 at 0.8.
 2. Documents with equal sets are one class with a multiplicity; from here on each class counts once.
 3. Keys with one class are dropped, and of the keys with the same classes all but one.
-4. Classes of a key meet in blocks of `BLOCK`: each pair of blocks is one group, so no key is gathered in one task. In a
-   group, intersections of the full gram sets come from a product of incidence matrices. A pair is judged under the least
-   key that both have, so that it counts once. A group returns a count and a root per class, never its pairs.
+4. Classes of a key meet in blocks of `BLOCK`: each pair of blocks is one group, so no key is gathered in one task. The texts
+   of a key with several blocks are written once a block to the shared folder, where the groups read them. In a group,
+   intersections of the full gram sets come from a product of incidence matrices. A pair is judged under the least key that
+   both have, so that it counts once. A group returns a count and a root per class, never its pairs.
 5. Components of the roots give the classes of near copies.
 
 Edge cases: null, empty and blank texts have no grams and link to nothing (class of their own); a null id is returned
@@ -19,17 +20,18 @@ class id; an empty table gives an empty result. Ids are integers. Other columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import kernel as K
 from larkspur.llm.bitmap import in_bitmap, write_bitmap
 from larkspur.llm.components import connected_components
-from larkspur.llm.shared import materialize, release, shared_dir
+from larkspur.llm.shared import get_bytes, materialize, put_bytes, release, shared_dir
 
 GRAM = 5
 SIMILARITY = 0.8
@@ -189,9 +191,47 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def _verify(n: int, similarity: float):
+_MEMBERS = ["set", "text", "keys", "m"]
+
+
+def _write_block(folder: str, t: pa.Table) -> None:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.select(_MEMBERS).schema) as writer:
+        writer.write_table(t.select(_MEMBERS))
+    key = t["key"][0].as_py()
+    put_bytes(f"{folder}/blocks/{key & 0xFF:02x}/{key}-{t['i'][0].as_py()}", sink.getvalue().to_pybytes())
+
+
+def _read_block(folder: str, key: int, i: int) -> pa.Table:
+    try:
+        t = pa.ipc.open_stream(get_bytes(f"{folder}/blocks/{key & 0xFF:02x}/{key}-{i}")).read_all()
+    except FileNotFoundError:  # a block that no class fell into
+        return pa.table({"set": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "keys": pa.array([], pa.list_(pa.int64())), "m": pa.array([], pa.int64()), "block": pa.array([], pa.int32())})
+    return t.append_column("block", pa.array([i] * t.num_rows, pa.int32()))
+
+
+def _pairs_of_blocks(folder: str):
+    """Rows (key, i, j) to their blocks' members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        for batch in batches:
+            for key, i, j in zip(*(batch[c].to_pylist() for c in ("key", "i", "j")), strict=True):
+                t = pa.concat_tables([_read_block(folder, key, k) for k in sorted({i, j})])
+                yield pa.table({"key": pa.array([key] * t.num_rows, pa.int64()), "i": pa.array([i] * t.num_rows, pa.int32()), "j": pa.array([j] * t.num_rows, pa.int32()), **{c: t[c] for c in (*_MEMBERS, "block")}})
+
+    return run
+
+
+def _verify(n: int, similarity: float, folder: str, groups: Callable = _groups):
+    """Judges groups; those that are one of several blocks are written instead, as their pairs come later."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches):
+        for t in groups(batches):
+            if not t.num_rows:
+                continue
+            if "blocks" in t.column_names and t["blocks"][0].as_py() > 1:
+                _write_block(folder, t)
+                continue
             key, i, j = (t[c][0].as_py() for c in ("key", "i", "j"))
             _, first_row = np.unique(t["set"].to_numpy(), return_index=True)  # repeated rows of a representative
             if len(first_row) < 2:
@@ -213,14 +253,14 @@ def _verify(n: int, similarity: float):
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, similarity: float = SIMILARITY) -> DataFrame:
-    """id, tag (xxhash64 of the text), class_id (least id of the component), n_links (other documents with similarity at or
-    above the bound)."""
+    """id, tag (xxhash64 of the text), class_id (least id of the component), class_tag (of those with that id, the least tag),
+    n_links (other documents with similarity at or above the bound)."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     tagged = rows.select("id", F.xxhash64("text").alias("tag"), "text")
     sets = materialize(tagged.mapInArrow(_sets(n), "id long, tag long, `set` long, keys array<long>"), folder, "sets")
     real = sets.where("id IS NOT NULL AND `set` IS NOT NULL")
-    classes = materialize(real.groupBy("set").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.any_value("keys").alias("keys")), folder, "classes")
+    classes = materialize(real.groupBy("set").agg(F.min("id").alias("rep"), F.min(F.struct("id", "tag")).alias("least"), F.count("*").alias("m"), F.any_value("keys").alias("keys")), folder, "classes")
     pairs = classes.select("set", F.explode("keys").alias("key"))
     live = pairs.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("set").alias("x")).where("n > 1")
     live = materialize(live.groupBy("n", "x").agg(F.min("key").alias("key")).select("key", "n"), folder, "live")
@@ -233,20 +273,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = texts.join(by_set, "set").where("id = rep").drop("id", "rep")
     release(spark)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    met = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("set"), blocks.cast("long")).cast("int")}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("set", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    grouped = met.join(texts, "set").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = materialize(grouped.mapInArrow(_verify(n, similarity), "`set` long, links long, root long"), folder, "found")
+    dealt = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("set"), blocks.cast("long")).cast("int")})
+    met = dealt.select("set", "key", "blocks", "block", F.col("block").alias("i"), F.col("block").alias("j")).join(texts, "set")
+    met = met.repartition("key", "i").sortWithinPartitions("key", "i", "j")
+    result = "`set` long, links long, root long"
+    found = materialize(met.mapInArrow(_verify(n, similarity, folder), result), folder, "found")
+    many = live.where(F.col("n") > BLOCK).select("key", blocks.alias("blocks"))
+    if not many.isEmpty():
+        pairs = many.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("j", F.explode(F.sequence("i", F.col("blocks") - 1)))
+        pairs = pairs.select("key", "i", "j").repartition("key", "i", "j")
+        found = found.unionByName(materialize(pairs.mapInArrow(_verify(n, similarity, folder, _pairs_of_blocks(folder)), result), folder, "found-blocks"))
     release(spark)
     roots = connected_components(found.select(F.col("set").alias("a"), F.col("root").alias("b")), folder)
     links = found.groupBy("set").agg(F.sum("links").alias("links"))
-    info = classes.select("set", "rep", "m").join(links, "set", "left").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    info = classes.select("set", "least", "m").join(links, "set", "left").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     info = materialize(info, folder, "info")
-    least = info.groupBy("root").agg(F.min("rep").alias("class_id"))
-    info = materialize(info.join(least, "root").select("set", "class_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links")), folder, "result")
+    least = info.groupBy("root").agg(F.min("least").alias("class"))
+    info = materialize(info.join(least, "root").select("set", F.col("class.id").alias("class_id"), F.col("class.tag").alias("class_tag"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links")), folder, "result")
     # copies of one text may be a third of all rows: the small side is unique by set, so Spark can split the large one
-    found = real.select("id", "tag", "set").join(info, "set").select("id", "tag", "class_id", "n_links")
-    return found.unionByName(sets.where("id IS NULL OR `set` IS NULL").select("id", "tag", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    found = real.select("id", "tag", "set").join(info, "set").select("id", "tag", "class_id", "class_tag", "n_links")
+    return found.unionByName(sets.where("id IS NULL OR `set` IS NULL").select("id", "tag", F.col("id").alias("class_id"), F.col("tag").alias("class_tag"), F.lit(0).cast("long").alias("n_links")))
 
 
 def ngram_join(documents: DataFrame) -> DataFrame:
@@ -255,12 +301,18 @@ def ngram_join(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one document of each class: the one with the least id. Of rows with equal id and text one stays."""
-    found = materialize(near_copies(docs, id_col, text_col, n, similarity), shared_dir(docs.sparkSession), "classes")
-    found = found.withColumnsRenamed({"id": "_id", "tag": "_tag"})
-    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_tag": F.xxhash64(F.col(text_col).cast("string"))})
-    gone = found.where("_id != class_id").select("_id", "_tag").distinct()
-    twice = materialize(found.groupBy("_id", "_tag").count().where("count > 1 AND _id IS NOT NULL").select("_id", "_tag"), shared_dir(docs.sparkSession), "twice")
-    rows = rows.join(gone, ["_id", "_tag"], "left_anti")
-    once = rows.join(twice, ["_id", "_tag"], "left_anti")
-    return once.unionByName(rows.join(twice, ["_id", "_tag"], "left_semi").dropDuplicates(["_id", "_tag"])).drop("_id", "_tag").select(*docs.columns)
+    """docs with one document of each class: that with the least id (null ids come last), of those the one with the least tag
+    of its text. Of rows with equal id and text one stays. Any column name is taken."""
+    spark = docs.sparkSession
+    own, tag = (next(x for x in (f"{name}_{k}" for k in range(len(docs.columns) + 1)) if x not in docs.columns) for name in ("id", "tag"))
+    last = (1 << 63) - 1
+    rows = docs.withColumns({own: F.coalesce(F.col(id_col).cast("long"), F.lit(last)), tag: F.xxhash64(F.col(text_col).cast("string"))})
+    found = materialize(near_copies(rows.select(own, text_col), own, text_col, n, similarity), shared_dir(spark), "classes").withColumnsRenamed({"id": own, "tag": tag})
+    gone = materialize(found.where(f"{own} != class_id OR {tag} != class_tag").select(own, tag).distinct(), shared_dir(spark), "gone")
+    # rows without an id and without words are no copies of each other
+    twice = found.groupBy(own, tag).count().where(f"count > 1 AND {own} != {last}").select(own, tag)
+    empty = found.where(f"{own} = {last} AND n_links > 0").groupBy(own, tag).count().where("count > 1").select(own, tag)
+    twice = materialize(twice.union(empty), shared_dir(spark), "twice")
+    rows = rows.join(gone, [own, tag], "left_anti")
+    once = rows.join(twice, [own, tag], "left_anti")
+    return once.unionByName(rows.join(twice, [own, tag], "left_semi").dropDuplicates([own, tag])).select(*docs.columns)

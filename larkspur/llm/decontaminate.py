@@ -1,23 +1,24 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a run of whole documents of about SHARD_WORDS words. Its words become symbols: one for each word that some
-benchmark item has, and one for any other word, runs of which are folded together, as no phrase can match there. The
-shard's FM-index is searched backwards for all test phrases at once, occurrences are located by sampled suffix positions,
-and their spans are merged per document.
+A shard is a run of whole documents of about SHARD_BYTES, at most those of one Arrow batch. Its words become symbols: one for
+each word that some benchmark item has, and one for any other word, runs of which are folded together, as no phrase can match
+there. The shard's FM-index is searched backwards for all test phrases at once, occurrences are located by sampled suffix
+positions, their words compared by a second hash, and their spans merged per document.
 
 A phrase (window) is `window` consecutive words of an item; an item with fewer words, but not none, is one phrase. The
 benchmark is a stated query set: its texts are bounded by `max_benchmark_bytes` (checked before anything is collected)
-and larger ones are run in blocks of items, one index pass for each block.
+and are run in blocks of items of BLOCK_BYTES, one index pass for each. Blocks are made one after the other and left in the
+shared folder, where workers map them; what is sent with a task are the items' ids.
 
-Edge cases: null or empty texts have no words, so no hits; null items have no phrases; items with equal texts are all
-reported; documents without hits get n_items 0 and the hash of the empty string; repeated rows are judged one by one; a
+Edge cases: null or empty texts have no words, so no hits; items with a null text have no phrases; an item with a null id
+counts as an item, and its id is left out of the joined ids; items with equal texts are all reported; documents without hits get n_items 0 and the hash of the empty string; repeated rows are judged one by one; a
 null id passes through; a text longer than a shard is a shard of its own; an empty table or benchmark gives no hits.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import kernel as K
 from larkspur.llm.fmindex import FMIndex
+from larkspur.llm.shared import map_array, put_arrays, shared_dir
 
 WINDOW = 10
 SHARD_BYTES = 6 << 20
@@ -36,34 +38,62 @@ BLOCK_BYTES = 4 << 20
 class Phrases:
     """The distinct windows of benchmark items over a dense vocabulary."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW) -> None:
         column = pa.array([t for _, t in items], pa.string())
-        parts, first = [], [np.zeros(1, np.int64)]
+        parts, more, first = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
         for _, _, buf, offsets in K.chunks(column):
             w = K.split_words(buf, offsets, K.ALNUM, lower=True)
             parts.append(w.hashes)
+            more.append(K.hashes(K.LOWER[buf], w.starts, w.ends, 1))
             first.append(w.first[1:] + first[-1][-1])
-        words, first = np.concatenate(parts or [np.zeros(0, np.uint64)]), np.concatenate(first)
+        words, second, first = np.concatenate(parts), np.concatenate(more), np.concatenate(first)
         #: sorted hashes of the items' words; symbol = place + 2 (1: any other word, 0: the index's own end)
         self.vocabulary = np.unique(words)
         symbols = np.searchsorted(self.vocabulary, words) + 2
         rows: dict[bytes, int] = {}
-        self.items: list[list[int]] = []
-        patterns, lengths = [], []
+        found: list[list[int]] = []
+        patterns, seconds, lengths = [], [], []
         for item in range(len(items)):
-            w = symbols[first[item] : first[item + 1]]
+            w, g = symbols[first[item] : first[item + 1]], second[first[item] : first[item + 1]]
             size = min(window, len(w))
             for i in range(len(w) - size + 1 if size else 0):
-                k = rows.setdefault(w[i : i + size].tobytes(), len(patterns))
+                k = rows.setdefault(w[i : i + size].tobytes() + g[i : i + size].tobytes(), len(patterns))
                 if k == len(patterns):
-                    patterns.append(np.concatenate([np.zeros(window - size, np.int64), w[i : i + size]]))
+                    patterns.append(np.concatenate([np.zeros(window - size, np.int32), w[i : i + size].astype(np.int32)]))
+                    seconds.append(np.concatenate([np.zeros(window - size, np.uint64), g[i : i + size]]))
                     lengths.append(size)
-                    self.items.append([])
-                if not self.items[k] or self.items[k][-1] != item:
-                    self.items[k].append(item)
-        self.patterns = np.array(patterns, np.int64).reshape(-1, window)
+                    found.append([])
+                if not found[k] or found[k][-1] != item:
+                    found[k].append(item)
+        #: symbols of each phrase, right-aligned, and the second hashes of its words
+        self.patterns = np.array(patterns, np.int32).reshape(-1, window)
+        self.seconds = np.array(seconds, np.uint64).reshape(-1, window)
         self.lengths = np.array(lengths, np.int64)
+        #: of each phrase, its items: item_list[item_first[k] : item_first[k + 1]]
+        self.item_first = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+        self.item_list = np.array([i for x in found for i in x], np.int32)
         self.ids = [i for i, _ in items]
+        self.window, self.uri = window, ""
+
+    _ARRAYS = {"vocabulary": np.uint64, "patterns": np.int32, "seconds": np.uint64, "lengths": np.int64, "item_first": np.int64, "item_list": np.int32}
+
+    def store(self, uri: str) -> Phrases:
+        """Leaves the arrays in the shared folder, where they are mapped when first used."""
+        put_arrays(uri, **{name: getattr(self, name) for name in self._ARRAYS})
+        for name in self._ARRAYS:
+            del self.__dict__[name]
+        self.uri = uri
+        return self
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not self.uri or k not in self._ARRAYS}
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        if name not in self._ARRAYS or not self.__dict__.get("uri"):
+            raise AttributeError(name)
+        x = np.asarray(map_array(f"{self.uri}.{name}", self._ARRAYS[name]))
+        self.__dict__[name] = x.reshape(-1, self.window) if name in ("patterns", "seconds") else x
+        return self.__dict__[name]
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
@@ -89,7 +119,15 @@ class Phrases:
         count = hi - lo
         phrase = np.repeat(np.arange(len(count)), count)
         rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        return phrase, place[index.locate(rows)]
+        at = place[index.locate(rows)]
+        if len(at):  # the words themselves, by their second hash
+            word = at[:, None] + np.arange(-self.window, 0) + self.lengths[phrase][:, None]
+            real = np.arange(-self.window, 0) >= -self.lengths[phrase][:, None]
+            word = np.where(real, word, 0)
+            u, back = np.unique(word, return_inverse=True)
+            same = (K.hashes(K.LOWER[w.buf], w.starts[u], w.ends[u], 1)[back].reshape(word.shape) == self.seconds[phrase]) | ~real
+            phrase, at = phrase[same.all(axis=1)], at[same.all(axis=1)]
+        return phrase, at
 
 
 RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
@@ -107,6 +145,10 @@ def _merge(start: np.ndarray, end: np.ndarray) -> list[dict]:
     return out
 
 
+def _sorted(ids: Iterable[str | None]) -> list[str | None]:
+    return sorted(set(ids), key=lambda x: (x is None, x or ""))
+
+
 def scan_shard(phrases: Phrases, buf: np.ndarray, offsets: np.ndarray) -> tuple[list, list, list, list]:
     """n_words, n_hit, items and merged word spans of each document of a shard."""
     w = K.split_words(buf, offsets, K.ALNUM, lower=True)
@@ -122,7 +164,8 @@ def scan_shard(phrases: Phrases, buf: np.ndarray, offsets: np.ndarray) -> tuple[
         edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])).tolist() + [len(doc)]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             d = int(doc[a])
-            items[d] = sorted({phrases.ids[i] for p in set(phrase[a:b].tolist()) for i in phrases.items[p]})
+            some = np.unique(phrase[a:b])
+            items[d] = _sorted(phrases.ids[i] for p in some.tolist() for i in phrases.item_list[phrases.item_first[p] : phrases.item_first[p + 1]].tolist())
             start = at[a:b] - w.first[d]
             spans[d] = _merge(start, start + size[a:b])
     return np.diff(w.first).tolist(), hit.tolist(), items, spans
@@ -147,7 +190,7 @@ def _scan(blocks: list[Phrases]):
                 n_words, n_hit, items, spans = scan_shard(blocks[0], buf, offsets)
                 for more in blocks[1:]:
                     _, _, i2, s2 = scan_shard(more, buf, offsets)
-                    items = [sorted({*a, *b}) for a, b in zip(items, i2, strict=True)]
+                    items = [_sorted([*a, *b]) for a, b in zip(items, i2, strict=True)]
                     spans = [_merge(*(np.array([x[k] for x in [*a, *b]], np.int64) for k in ("start", "end"))) for a, b in zip(spans, s2, strict=True)]
                     n_hit = [sum(x["end"] - x["start"] for x in s) for s in spans]
                 found = [pa.array(x, t) for x, t in zip((n_words, n_hit, items, spans), _TYPES, strict=True)]
@@ -199,20 +242,22 @@ def cut_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
 
 def _phrases(benchmark: DataFrame, item_id: str, item_text: str, window: int, max_benchmark_bytes: int) -> list[Phrases]:
-    tests = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    tests = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("string").alias("text")).where("text IS NOT NULL")
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > max_benchmark_bytes:
         raise ValueError(f"the benchmark holds {size} bytes; max_benchmark_bytes is {max_benchmark_bytes}")
-    items = sorted((r.id, r.text) for r in tests.collect())
-    return [Phrases(b, window) for b in _blocks(items, BLOCK_BYTES)]
+    items = sorted(((r.id, r.text) for r in tests.collect()), key=lambda x: (x[0] is None, x[0] or "", x[1]))
+    folder = shared_dir(benchmark.sparkSession)
+    return [Phrases(b, window).store(f"{folder}/phrases-{k}") for k, b in enumerate(_blocks(items, BLOCK_BYTES))]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_benchmark_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
     """docs' columns with n_words, n_hit, items (ids as sorted strings) and spans (word ranges to remove)."""
     blocks = _phrases(benchmark, item_id, item_text, window, max_benchmark_bytes)
-    rows = docs.drop("n_words", "n_hit", "items", "spans").withColumn("_text", F.col(text_col).cast("string"))
+    kept = docs.drop("n_words", "n_hit", "items", "spans").columns
+    rows = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(kept)), F.col(text_col).cast("string").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(_scan(blocks), f"{fields}, {RESULT}")
+    return rows.mapInArrow(_scan(blocks), f"{fields}, {RESULT}").withColumnsRenamed({f"c{k}": c for k, c in enumerate(kept)})
 
 
 def _digest(items: list[str]) -> str:

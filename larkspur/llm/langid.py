@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import kernel as K
 from larkspur.llm.labelled import bounded, fit_in_task, fold
+from larkspur.llm.shared import materialize, shared_dir
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 LIMIT = 500
 ROUNDS = 4
 RUN = 48  # bytes of a run in training; scoring never cuts
 STEPS = 64  # bytes of a word that are looked up at once
+SMALL = 200_000  # sampled ids that are sent to all executors; more are joined by a shuffle
 CACHE = 1 << 23  # numbers kept for words seen before
 _SMALL, _SCALE = 1e-100, 1e100
 
@@ -269,7 +271,9 @@ def identify(docs: DataFrame, folds: int = 5, held_out: int = 0, limit: int = LI
     """id_col, held_out, lang_pred and score (the language's share of the probability) of every row."""
     rows = docs.select(F.col(id_col).alias("id"), (fold(id_col, folds) == held_out).alias("held_out"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = rows.where("NOT held_out AND text IS NOT NULL AND lang IS NOT NULL")
-    chosen = bounded(known.select("id", "lang"), "lang", limit).distinct()
+    chosen = materialize(bounded(known.select("id", "lang"), "lang", limit).distinct(), shared_dir(docs.sparkSession), "sample")
+    if chosen.count() <= SMALL:
+        chosen = F.broadcast(chosen)
     sample = known.join(chosen, ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).select("id", "text", "lang")
     model = fit_in_task(sample, lambda t: train(t, path))
     kind = rows.schema["id"].dataType.simpleString()

@@ -24,6 +24,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
 SEED = "larkspur-mix:"
 MAX_PATTERNS = 100_000
+DIGITS = 3  # of the draw, in a coarse bucket; twice as many in a fine one
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -119,15 +120,20 @@ def mix_sources(docs: DataFrame, sized: DataFrame | None = None, id_col: str = "
     then gives source_size and target). size_col names a ready size; else the words of text_col are counted.
     """
     many = docs.schema[source_col].dataType.typeName() == "array"
-    size = F.coalesce(F.col(size_col), F.lit(0)).cast("long") if size_col else word_count(F.col(text_col))
-    members = F.array_sort(F.array_distinct(F.col(source_col))) if many else F.array(F.col(source_col))
+    results = ("size", "source_size", "target", "taken")
+    own = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # so that no name clashes
+    rows = docs.toDF(*own.values())
+    size = F.coalesce(F.col(own[size_col]), F.lit(0)).cast("long") if size_col else word_count(F.col(own[text_col]))
+    source, number = F.col(own[source_col]), F.col(own[id_col])
+    members = F.array_sort(F.array_distinct(source)) if many else F.array(source)
     # a string that tells patterns apart, null sources included
     key = F.to_json(F.struct(members.alias("m")), {"ignoreNullFields": "false"})
-    rows = docs.withColumns({"size": size, "_key": key, "_draw": F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))}).withColumn("_bucket", F.substring("_draw", 1, 3))
-    spark = docs.sparkSession
-    buckets = rows.groupBy("_key", "_bucket").agg(F.sum("size").alias("n"), F.first(members).alias("m"))
-    buckets = materialize(buckets, shared_dir(spark), "buckets")
-    patterns = buckets.groupBy("_key").agg(F.first("m").alias("m"), F.sum("n").alias("n"))
+    rows = rows.withColumns({"key": key, "draw": F.md5(F.concat(F.lit(seed), F.coalesce(number.cast("string"), F.lit(""))))})
+    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
+    coarse, fine = F.substring("draw", 1, DIGITS), F.substring("draw", 1, 2 * DIGITS)
+    buckets = rows.groupBy("key", coarse.alias("bucket")).agg(F.sum(size).alias("n"), F.first(members).alias("m"))
+    buckets = materialize(buckets, folder, "buckets")
+    patterns = buckets.groupBy("key").agg(F.first("m").alias("m"), F.sum("n").alias("n"))
     found = patterns.limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
@@ -137,23 +143,26 @@ def mix_sources(docs: DataFrame, sized: DataFrame | None = None, id_col: str = "
         p = tuple(r.m or ())
         passes, rest = divmod(taken[p], r.n) if r.n else (0, 0)
         first = p[0] if p else None
-        table.append((r._key, sizes.get(first, 0), float(target.get(first, 0.0)), passes, rest))
-    quota = spark.createDataFrame(table, "_key string, source_size long, target double, _passes long, _rest long")
-    # the bucket of the seeded order in which a pattern's remainder ends: 4096 rows a pattern at most
-    border = (
-        buckets.join(quota, "_key")
-        .withColumn("_before", F.sum("n").over(Window.partitionBy("_key").orderBy("_bucket")) - F.col("n"))
-        .where((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("n") >= F.col("_rest")))
-        .select("_key", F.col("_bucket").alias("_last"), (F.col("_rest") - F.col("_before")).alias("_missing"))
-    )
-    quota = quota.join(border, "_key", "left").select("_key", "source_size", "target", "_passes", F.coalesce("_last", F.lit("")).alias("_last"), F.coalesce("_missing", F.lit(0)).alias("_missing"))
-    quota = materialize(quota, shared_dir(spark), "quota")
-    rows = rows.drop("source_size", "target", "taken").join(quota, "_key")
-    whole = rows.where(F.col("_bucket") != F.col("_last")).withColumn("_extra", F.when(F.col("_bucket") < F.col("_last"), F.col("size")).otherwise(F.lit(0)))
-    order = Window.partitionBy("_key").orderBy("_draw", F.col(id_col), "size").rowsBetween(Window.unboundedPreceding, -1)
-    part = rows.where(F.col("_bucket") == F.col("_last")).withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_missing") - F.coalesce(F.sum("size").over(order), F.lit(0)))))
-    out = whole.unionByName(part).withColumn("taken", F.col("_passes") * F.col("size") + F.col("_extra"))
-    return out.drop("_key", "_draw", "_bucket", "_last", "_missing", "_passes", "_extra")
+        table.append((r.key, sizes.get(first, 0), float(target.get(first, 0.0)), passes, rest))
+    quota = spark.createDataFrame(table, "key string, source_size long, target double, passes long, rest long")
+
+    def border(sums: DataFrame, wanted: DataFrame) -> DataFrame:
+        """The bucket of the seeded order in which a pattern's remainder ends, and what is missing there; 16**DIGITS rows a
+        pattern at most."""
+        before = sums.join(wanted, "key").withColumn("before", F.sum("n").over(Window.partitionBy("key").orderBy("bucket")) - F.col("n"))
+        return before.where("before < rest AND before + n >= rest").select("key", F.col("bucket").alias("last"), (F.col("rest") - F.col("before")).alias("rest"))
+
+    outer = materialize(border(buckets.select("key", "bucket", "n"), quota.select("key", "rest")), folder, "border")
+    inside = rows.join(outer, "key").where(coarse == F.col("last")).groupBy("key", fine.alias("bucket")).agg(F.sum(size).alias("n"))
+    inner = border(inside, outer.select("key", "rest"))
+    quota = quota.drop("rest").join(inner, "key", "left").select("key", "source_size", "target", "passes", F.coalesce("last", F.lit("")).alias("last"), F.coalesce("rest", F.lit(0)).alias("rest"))
+    quota = materialize(quota, folder, "quota")
+    rows = rows.withColumns({"size": size, "bucket": fine}).join(quota, "key")
+    whole = rows.where("bucket != last").withColumn("extra", F.when(F.col("bucket") < F.col("last"), F.col("size")).otherwise(F.lit(0)))
+    order = Window.partitionBy("key").orderBy("draw", number, "size").rowsBetween(Window.unboundedPreceding, -1)
+    part = rows.where("bucket = last").withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.coalesce(F.sum("size").over(order), F.lit(0)))))
+    out = whole.unionByName(part).withColumn("taken", F.col("passes") * F.col("size") + F.col("extra"))
+    return out.select(*(F.col(c).alias(name) for name, c in own.items() if name not in results), *results)
 
 
 def mix_documents(documents: DataFrame) -> DataFrame:

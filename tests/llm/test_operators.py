@@ -85,6 +85,65 @@ def test_mixing_overlapping_sources(spark):
     assert all(r.taken <= 30 for r in out)
 
 
+def cheapest(capacity, quotas, passes=3):
+    """Least cost of taking as much as the quotas allow, by trying every split: pass k over a word costs k."""
+    from functools import cache
+
+    patterns = sorted(capacity)
+
+    @cache
+    def best(k, left):
+        if k == len(patterns):
+            return 0, 0
+        p, found = patterns[k], (1, 0)
+        names = sorted(quotas)
+        room = [left[names.index(s)] for s in p]
+
+        def splits(i, total):
+            if i == len(p):
+                yield ()
+                return
+            for x in range(min(room[i], total) + 1):
+                for rest in splits(i + 1, total - x):
+                    yield (x, *rest)
+
+        for split in splits(0, passes * capacity[p]):
+            n = sum(split)
+            cost = sum(min(max(n - lap * capacity[p], 0), capacity[p]) * (lap + 1) for lap in range(passes))
+            after = list(left)
+            for s, x in zip(p, split):
+                after[names.index(s)] -= x
+            more = best(k + 1, tuple(after))
+            found = min(found, (-n + more[0], cost + more[1]))
+        return found
+
+    return best(0, tuple(quotas[s] for s in sorted(quotas)))
+
+
+def test_route_against_brute_force():
+    import random
+
+    r = random.Random(2)
+    for _ in range(25):
+        capacity = {p: r.randint(0, 3) for p in [("x",), ("x", "y"), ("y", "z"), ("x", "y", "z")] if r.random() < 0.8}
+        quotas = {s: r.randint(0, 5) for s in "xyz"}
+        flow = mixing.route(capacity, quotas)
+        used = Counter()
+        for (p, s), n in flow.items():
+            used[p] += n
+            assert s in p and n > 0
+        assert all(sum(n for (_, t), n in flow.items() if t == s) <= quotas[s] for s in quotas)
+        cost = sum(min(max(used[p] - lap * c, 0), c) * (lap + 1) for p, c in capacity.items() for lap in range(3))
+        assert (-sum(flow.values()), cost) == cheapest(capacity, quotas), (capacity, quotas, flow)
+
+
+def test_mixing_keeps_every_column(spark):
+    names = ["_draw", "_bucket", "_key", "_last", "_missing", "_passes", "_extra", "key", "draw", "bucket", "rest", "c0", "taken", "size"]
+    df = frame(spark, ROWS).withColumns({c: F.lit(c) for c in names})
+    out = mixing.mix_sources(df)
+    assert set(out.columns) == {*df.columns, "size", "source_size", "target", "taken"} and out.where("_draw = '_draw' AND c0 = 'c0' AND taken >= 0").count() == len(ROWS)
+
+
 def test_route_is_cheapest():
     # a alone could fill both quotas only by repeats; flow must use b's pattern first and reroute the shared one
     flow = mixing.route({("x",): 10, ("x", "y"): 10, ("y",): 10}, {"x": 15, "y": 15})
@@ -206,7 +265,7 @@ def low(t):
 @pytest.fixture(scope="module")
 def benchmark(spark):
     long = [t for _, t, *_ in ROWS if t and len(words(t)) > 40]
-    items = [(1, " ".join(words(long[0])[5:30]).upper()), (2, " ".join(words(long[1])[:4])), (3, None), (4, ""), (5, "zz yy xx"), (6, " ".join(words(long[0])[5:30])), (10, " ".join(words(long[2])[3:13]))]
+    items = [(1, " ".join(words(long[0])[5:30]).upper()), (2, " ".join(words(long[1])[:4])), (3, None), (4, ""), (5, "zz yy xx"), (6, " ".join(words(long[0])[5:30])), (10, " ".join(words(long[2])[3:13])), (None, " ".join(words(long[0])[8:40]))]
     return spark.createDataFrame(items, "item_id long, text string"), items
 
 
@@ -216,7 +275,7 @@ def test_decontamination(docs, nothing, benchmark):
     for i, t in items:
         w = low(t)
         for p in range(max(1, len(w) - 9) if w else 0):
-            windows[tuple(w[p : p + 10])].add(str(i))
+            windows[tuple(w[p : p + 10])].add(None if i is None else str(i))
     want = []
     for i, t, *_ in ROWS:
         w = low(t)
@@ -226,7 +285,7 @@ def test_decontamination(docs, nothing, benchmark):
                 if tuple(w[p : p + n]) in windows:
                     hit[p : p + n] = [True] * n
                     found |= windows[tuple(w[p : p + n])]
-        want.append((i, len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), sum(hit) > 0))
+        want.append((i, len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(x for x in found if x is not None)).encode()).hexdigest(), sum(hit) > 0))
     columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert sum(r[-1] for r in want) > 3
     assert collected(decontaminate.contamination(docs, frame_), *columns) == sorted(want, key=key)
@@ -248,14 +307,27 @@ def test_blocks_of_items(docs, benchmark, monkeypatch):
 
 
 def test_media(docs, nothing):
+    import io
+    import wave
+
     got = {}
     for r in media.media_digests(docs).collect():
-        got.setdefault(r.doc_id, []).append(r)
+        got.setdefault(r.doc_id, []).append(tuple(r)[1:])
     for i, t, *_ in ROWS:
         data = (t or "").encode()
         payload = data.ljust(max(192, -(-len(data) // 192) * 192), b" ")
-        want = (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert want in [tuple(r)[1:5] for r in got[i]]
+        stored = io.BytesIO()
+        with wave.open(stored, "wb") as f:  # the standard library's own writer
+            f.setnchannels(1)
+            f.setsampwidth(1)
+            f.setframerate(media.RATE)
+            f.writeframes(payload)
+        stored = stored.getvalue()
+        with wave.open(io.BytesIO(stored)) as f:
+            assert f.readframes(f.getnframes()) == payload
+            feature = f"audio/wav;channels={f.getnchannels()};rate={f.getframerate()};bits={8 * f.getsampwidth()};samples={f.getnframes()};embedded=0"
+        want = (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature)
+        assert want in got[i]
     assert media.media_digests(nothing).count() == 0
 
 
@@ -433,6 +505,80 @@ def test_classifiers(spark, nothing):
         assert {r.predicted for r in f(df, lab.limit(0)).collect()} <= {0, 1}
 
 
+def test_quality_against_plain_model(spark):
+    """FTRL over the same hashed n-grams with dictionaries and Python floats, and the query's scores over whole texts."""
+    import numpy as np
+    import pyarrow as pa
+
+    from larkspur.llm import kernel as K
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    y = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and r.doc_id in text and crc(r.doc_id) % 5 != 0}
+
+    def word_hash(word):
+        b = word.encode()
+        return K.hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0]
+
+    def shape(word):
+        out = []
+        for c in word.encode():
+            s = 97 if 97 <= c <= 122 or 0xA0 <= c < 0xC0 else 65 if 65 <= c <= 90 or 0x80 <= c < 0xA0 else 48 if 48 <= c <= 57 else 0 if c >= 0xC0 else c
+            if s and (not out or out[-1] != s):
+                out.append(s)
+        b = bytes(out)
+        return K.hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]), 21)[0] if b else None
+
+    known = {}
+
+    def vector(t):
+        out = {1 << quality.BITS: 1.0}
+        w = words(t)
+        for x in w:
+            if x not in known:
+                known[x] = word_hash(x), shape(x)
+        h = np.array([known[x][0] for x in w], np.uint64)
+        s = np.array([known[x][1] for x in w], np.uint64)
+        for kind, (seq, n) in enumerate(((h, 1), (h, 2), (s, 1), (s, 2), (s, 3))):
+            grams = [int(K.ngram_hashes(seq[k : k + n], n, kind + 1)[0] >> np.uint64(64 - quality.BITS)) for k in range(len(w) - n + 1)]
+            for g, c in Counter(grams).items():
+                out.setdefault(g, 0.0)
+                out[g] += c / len(grams)
+            if kind == 1 and grams:
+                for g, c in Counter(int(w[k] == w[k + 1]) for k in range(len(w) - 1)).items():
+                    out.setdefault(g, 0.0)
+                    out[g] += c / len(grams)
+        return out
+
+    keep = [i for i in sorted(y) if len(words(text[i])) < 1500 and all(x for x in map(shape, set(words(text[i]))))]
+    texts = pa.array([text[i] for i in keep])
+    truth = np.array([y[i] for i in keep], np.float64)
+    weights = quality.train(texts, truth)
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= quality.L1 else -math.copysign(abs(z[i]) - quality.L1, z[i]) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    rows, rng = [vector(text[i]) for i in keep], np.random.default_rng(1)
+    for _ in range(quality.EPOCHS):
+        for k in rng.permutation(len(rows)):
+            w = {i: weight(i) for i in rows[k]}
+            p = 1 / (1 + math.exp(-sum(w[i] * x for i, x in rows[k].items())))
+            for i, x in rows[k].items():
+                g = (p - truth[k]) * x
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w[i]
+                n[i] += g * g
+    got = quality.scores(weights, texts)
+    want = [1 / (1 + math.exp(-sum(weight(i) * x for i, x in v.items()))) for v in rows]
+    assert np.abs(got - want).max() < 0.02 and len(keep) > 20
+    # the query over whole texts is the same model, trained on all labelled rows
+    sample = sorted(y)
+    model = quality.train(pa.array([text[i] for i in sample]), np.array([y[i] for i in sample], np.float64))
+    for r in quality.quality_scores(docs, labels).collect():
+        assert abs(r.score - quality.scores(model, pa.array([text[r.doc_id]]))[0]) < 1e-9
+
+
 def test_network_gradient():
     import numpy as np
     import pyarrow as pa

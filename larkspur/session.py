@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur import dialect as D
+from larkspur import naming
 from larkspur.catalog import Catalog, Column, Manifest, Part, Table
 from larkspur.constraints import check_keys, check_new_keys, check_rows, key_sets, within
 from larkspur.errors import CatalogError, ConstraintError, EngineError, SerializationError, SyntaxError_
@@ -73,6 +74,15 @@ class Transaction:
 
 
 PUBLISH_ATTEMPTS = 50
+
+
+def _renamed(df: DataFrame, names: list[str | None]) -> DataFrame:
+    """Columns of a plain SELECT list under their generated names."""
+    if len(names) != len(df.columns) or not any(names):
+        return df
+    return df.toDF(*(n or c for n, c in zip(names, df.columns, strict=True)))
+
+
 KEPT_MANIFESTS, KEPT_SECONDS = 20, 3600.0
 #: Parts a table may have before the small ones are merged, and the bytes below which a part is small.
 MANY_PARTS, SMALL_BYTES = 32, 64 << 20
@@ -233,6 +243,8 @@ class Engine:
             if name in known and name not in views:
                 txn.get(name).read(self.spark).createOrReplaceTempView(name)
                 views.append(name)
+        plain = D.parse_select(tokens)
+        names = [naming.name_of(i) for i in plain.items] if plain else []
         tokens = D.to_spark(tokens, " ".join(known))
         s = D.parse_select(tokens)
         attempts = [tokens]
@@ -248,7 +260,7 @@ class Engine:
             error: AnalysisException | None = None
             for t in attempts:
                 try:
-                    return self.spark.sql(D.render(t))
+                    return _renamed(self.spark.sql(D.render(t)), names)
                 except AnalysisException as e:
                     error = error or e
             raise error

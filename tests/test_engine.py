@@ -122,3 +122,22 @@ def test_stream(spark, engine, tmp_path):
     stream = spark.readStream.schema("id long, v double").parquet(f"{tmp_path}/in")
     load_stream(engine, stream, "t", f"{tmp_path}/state", upsert=True).awaitTermination()
     assert ids(engine) == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize(
+    ("item", "name"),
+    [
+        ("id + v", "(id + v)"), ("t.id * 2 - v", "((id * 2) - v)"), ("-v", "-v"), ("not id > 1", "!(id > 1)"), ("sum(v)", "Sum(v)"), ("count(*)", "Count(*)"),
+        ("count(distinct v + 1)", "Count(DISTINCT (v + 1))"), ("max(v) + 1", "(Max(v) + 1)"), ("cast(id as varchar)", "CAST(id as VARCHAR)"), ("id::bigint", "CAST(id as BIGINT)"),
+        ("v is null", "v is null"), ("v is not null", "v is not null"), ("id in (1, 2)", "id in (1, 2)"), ("id not in (1)", "id not in (1)"), ("s like 'a%'", "(s like a%)"),
+        ("s not like 'b_'", "(s not like b_)"), ("id > 1 and v < 2 or id = 5", "(((id > 1) && (v < 2)) || (id = 5))"), ("id % 2 <> 1", "((id mod 2) != 1)"), ("s || 'x'", "(s & x)"), ("5", "5"),
+        ("id", "id"), ("t.v", "v"), ("v as w", "w"), ("(id)", "id"),
+    ],
+)
+def test_generated_names(engine, item, name):
+    engine.sql("create table t (id int primary key, v int, s varchar)")
+    assert engine.sql(f"select {item} from t").columns == [name]
+
+
+def test_names_without_a_rule_stay(engine):
+    assert engine.sql("select case when true then 1 end, 7 + 1 as x, (select 2) + 0").columns[1] == "x"

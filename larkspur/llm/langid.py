@@ -208,11 +208,11 @@ class Model:
         return K.segment_sum(value[inverse].astype(np.float64), w.first)
 
 
-def train(sample: pa.Table, path: str = VOCABULARY, rounds: int = ROUNDS) -> Model:
-    """sample: text, lang."""
+def train(sample: pa.Table, vocabulary: list[bytes] | None = None, rounds: int = ROUNDS) -> Model:
+    """sample: text, lang; vocabulary: pieces, those of VOCABULARY if None."""
     langs = sorted(set(sample["lang"].to_pylist()))
     place = {x: k for k, x in enumerate(langs)}
-    pieces = Pieces(read_pieces(path))
+    pieces = Pieces(vocabulary or read_pieces())
     number = np.array([place[x] for x in sample["lang"].to_pylist()], np.int64)
     counted: dict[bytes, np.ndarray] = {}
     for row, _, buf, offsets in K.chunks(sample["text"].combine_chunks()):
@@ -275,7 +275,8 @@ def identify(docs: DataFrame, folds: int = 5, held_out: int = 0, limit: int = LI
     if chosen.count() <= SMALL:
         chosen = F.broadcast(chosen)
     sample = known.join(chosen, ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).select("id", "text", "lang")
-    model = fit_in_task(sample, lambda t: train(t, path))
+    vocabulary = read_pieces(path)  # on the driver, which has the file; less than 1 MB goes with the task
+    model = fit_in_task(sample, lambda t: train(t, vocabulary))
     kind = rows.schema["id"].dataType.simpleString()
     theta = model.theta.astype(np.float32).astype(np.float64)
     out = rows.select("id", "held_out", "text").mapInArrow(_predict(model.langs, model.pieces, theta), f"id {kind}, held_out boolean, lang_pred string, score double")

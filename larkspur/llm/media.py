@@ -108,12 +108,19 @@ def _riff(d: bytes, at: int) -> int:
     return end - at if pos in (end, end + 1) and pos > at + 12 else 0
 
 
-def _pdf(d: bytes, at: int) -> int:
-    end = d.find(b"%%EOF", at)
-    if not d[at + 5 : at + 6].isdigit() or end < 0 or d.find(b"startxref", at, end) < 0:
+def _pdf(d: bytes, at: int, stop: int) -> int:
+    """To the last end mark before the next PDF that a valid startxref line comes before: revisions follow the first one."""
+    if not d[at + 5 : at + 6].isdigit():
         return 0
-    start = d.rfind(b"startxref", at, end)
-    return end + 5 - at if d[start + 9 : end].strip().isdigit() else 0
+    end = d.rfind(b"%%EOF", at, stop)
+    while end > at:
+        start = d.rfind(b"startxref", at, end)
+        if start < 0:
+            return 0
+        if d[start + 9 : end].strip().isdigit():
+            return end + 5 - at
+        end = d.rfind(b"%%EOF", at, end)
+    return 0
 
 
 def _zip(d: bytes, at: int) -> int:
@@ -158,11 +165,18 @@ def _ogg(d: bytes, at: int) -> int:
 
 
 def _mp4(d: bytes, at: int) -> int:
-    """at: the box's size, 4 bytes before its magic."""
+    """at: the box's size, 4 bytes before its magic. Boxes of any type with a printable name count, with sizes of 32 or 64 bits;
+    one of size 0 reaches to the end."""
     pos, seen = at, set()
     while pos + 8 <= len(d):
         size, kind = struct.unpack_from(">I4s", d, pos)
-        if kind not in (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"moof", b"mfra", b"sidx", b"uuid", b"wide", b"meta") or size < 8 or pos + size > len(d):
+        if size == 1 and pos + 16 <= len(d):
+            size = struct.unpack_from(">Q", d, pos + 8)[0]
+            least = 16
+        else:
+            least = 8
+            size = len(d) - pos if size == 0 and kind == b"mdat" else size
+        if not all(0x20 <= c < 0x7F for c in kind) or size < least or pos + size > len(d) or (kind == b"ftyp" and b"ftyp" in seen):
             break
         seen.add(kind)
         pos += size
@@ -194,8 +208,11 @@ _automaton.make_automaton()
 def found(data: bytes) -> Iterator[tuple[int, int, str]]:
     """(start, length, type) of every valid format in data, in order of start."""
     hits = sorted((end + 1 - len(FORMATS[k][0]) - FORMATS[k][1], k) for end, k in _automaton.iter(data.decode("latin-1")))
+    # a PDF ends before the next one's magic, so that all of them together read the data once
+    pdfs = [at for at, k in hits if FORMATS[k][3] is _pdf] + [len(data)]
+    stops = dict(zip(pdfs, pdfs[1:], strict=False))
     for at, k in hits:
-        if at >= 0 and (size := FORMATS[k][3](data, at)):
+        if at >= 0 and (size := _pdf(data, at, stops[at]) if FORMATS[k][3] is _pdf else FORMATS[k][3](data, at)):
             kind = FORMATS[k][2]
             yield at, size, RIFF_TYPES[data[at + 8 : at + 12]] if kind == "riff" else kind
 
@@ -284,7 +301,9 @@ def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def inspect_media(df: DataFrame, data_col: str, declared_col: str | None = None) -> DataFrame:
     """df with media_type, corrected and embedded (start, type, bytes) for a binary column."""
-    rows = df.withColumns({"_data": F.col(data_col).cast("binary"), "_declared": F.col(declared_col).cast("string") if declared_col else F.lit(None).cast("string")})
-    rows = rows.drop("media_type", "corrected", "embedded")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("_data", "_declared"))
-    return rows.mapInArrow(_inspect, f"{fields}, media_type string, corrected boolean, embedded array<struct<start:long,type:string,bytes:binary>>")
+    kept = [c for c in df.columns if c not in ("media_type", "corrected", "embedded")]
+    own = [F.col(c).alias(f"c{k}") for k, c in enumerate(kept)]
+    rows = df.select(*own, F.col(data_col).cast("binary").alias("_data"), (F.col(declared_col) if declared_col else F.lit(None)).cast("string").alias("_declared"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("_data", "_declared"))
+    out = rows.mapInArrow(_inspect, f"{fields}, media_type string, corrected boolean, embedded array<struct<start:long,type:string,bytes:binary>>")
+    return out.withColumnsRenamed({f"c{k}": c for k, c in enumerate(kept)})

@@ -31,11 +31,11 @@ def release(spark: SparkSession) -> None:
 
 
 def _split(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.LocalFileSystem() if uri.startswith(("file:", "/")) else fs.FileSystem.from_uri(uri)[0], _path(uri)
-
-
-def _path(uri: str) -> str:
-    return "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith(("file:", "/")) else fs.FileSystem.from_uri(uri)[1]
+    """File system and path. Hadoop's names of S3 stand for the one that Arrow knows."""
+    if uri.startswith(("file:", "/")):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
 
 
 def put_bytes(uri: str, data: bytes) -> None:
@@ -60,7 +60,8 @@ def put_arrays(uri: str, **arrays: np.ndarray) -> None:
 
 
 def map_array(uri: str, dtype: type) -> np.ndarray:
-    """Memory-mapped; a file in a store that cannot be mapped is copied to an unlinked local file first."""
+    """Memory-mapped. A file in a store that cannot be mapped is read through an unlinked local copy: a cache of this process,
+    which nobody else is to find."""
     store, path = _split(uri)
     if isinstance(store, fs.LocalFileSystem):
         return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
@@ -72,9 +73,11 @@ def map_array(uri: str, dtype: type) -> np.ndarray:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings of these operators: Arrow batches of few rows, as one text may be long."""
+    """Session settings of these operators: Arrow batches of few rows and bytes, as texts may be long. For the session's later
+    queries, too, these are only smaller batches."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
 
 
 def ship(spark: SparkSession) -> None:

@@ -363,6 +363,25 @@ def test_sniffing_and_carving(spark):
     assert all([e["type"] for e in r.embedded] == [r["name"]] for r in out if r["name"] != "none")
 
 
+def test_revised_pdfs_and_large_boxes(spark):
+    import struct
+    import time
+
+    pdf = samples()["application/pdf"]
+    revised = pdf + b"\n2 0 obj\nendobj\nxref\ntrailer\nstartxref\n90\n%%EOF"
+    assert media.carve(b"x " + revised + b" %%EOF noise " + pdf + b"tail") == [("application/pdf", revised), ("application/pdf", pdf)]
+    box = lambda k, d: struct.pack(">I", 8 + len(d)) + k + d
+    large = struct.pack(">I4sQ", 1, b"mdat", 16 + 5) + b"12345"
+    for parts in ([box(b"moov", b"m" * 8), large], [large, box(b"emsg", b"e"), box(b"styp", b"s"), box(b"moov", b"m")], [box(b"moov", b"m"), struct.pack(">I", 0) + b"mdat" + b"rest"]):
+        data = box(b"ftyp", b"isom\0\0\0\0") + b"".join(parts)
+        assert media.inspect(data, "x")[0] == "video/mp4" and media.carve(b"junk" + data) == [("video/mp4", data)]
+    begin = time.time()
+    assert media.carve(b"%PDF-1.4 " * 200_000) == [] and time.time() - begin < 20
+    rows = [(bytearray(b"junk" + pdf), "a", "b")]
+    out = media.inspect_media(spark.createDataFrame(rows, "data binary, _data string, _declared string"), "data")
+    assert out.columns[:3] == ["data", "_data", "_declared"] and out.first()[1:3] == ("a", "b")
+
+
 def test_language(spark, nothing):
     de, en = "der die und das nicht ein für über schön".split(), "the and of that with this from have been".split()
     rows = [(i, " ".join((de if i % 2 else en)[(i * k) % 9] for k in range(1, 12)), "de" if i % 2 else "en", None, 0) for i in range(200)]

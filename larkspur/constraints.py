@@ -51,10 +51,10 @@ def within(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.where(F.lit(False)) if low is None else old.where(F.col(key).between(F.lit(low), F.lit(high)))
 
 
-def check_new_keys(new: DataFrame, old: DataFrame, sets: list[list[str]]) -> None:
+def check_new_keys(new: DataFrame, old: DataFrame | None, sets: list[list[str]]) -> None:
     """Neither the new rows among themselves nor with the old ones share a key. The old table is only semi-joined, and only read
     where keys may meet."""
     for keys in sets:
         check_keys(new, keys)
-        if within(old, new, keys[0]).select(*keys).join(new.select(*keys), keys, "left_semi").limit(1).count():
+        if old is not None and within(old, new, keys[0]).select(*keys).join(new.select(*keys), keys, "left_semi").limit(1).count():
             raise ConstraintError(f"duplicate value of {', '.join(keys)}")

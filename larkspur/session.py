@@ -9,7 +9,7 @@ from __future__ import annotations
 import random
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
@@ -189,6 +189,8 @@ class Engine:
     def sql(self, text: str) -> DataFrame:
         """Runs statements; the result of the last one."""
         out = None
+        if (plain := D.number_insert(text)) is not None:
+            return self._done(lambda txn: self._insert_rows(*plain, txn))
         for tokens in D.statements(text):
             out = self._statement(tokens)
         if out is None:
@@ -206,9 +208,13 @@ class Engine:
         if r.take("rollback"):
             self.rollback()
             return self._text("OK", ["ROLLBACK"])
+        return self._done(lambda txn: self._run(r, txn))
+
+    def _done(self, statement: Callable[[Transaction], DataFrame]) -> DataFrame:
+        """Runs a statement in the open transaction, or one of its own."""
         txn = self.open or Transaction(self.catalog.latest(), self.serializable)
         with self._whole(txn):
-            out = self._run(r, txn)
+            out = statement(txn)
         if self.open is None:
             for name in txn.appended:
                 self._tidy(name)
@@ -454,7 +460,7 @@ class Engine:
         if upsert:
             self._upsert(t, new, part, own)
         else:
-            check_new_keys(new, t.read(self.spark), key_sets(t))
+            check_new_keys(new, t.read(self.spark) if t.parts else None, key_sets(t))
             own.put(name, replace(t, parts=(*t.parts, part)), part)
         return n
 
@@ -495,26 +501,27 @@ class Engine:
         upsert = r.take("overwrite")
         r.take("into")
         r.take("table")
-        t = txn.get(r.name())
-        names = [c.name for c in t.columns]
-        listed = r.peek() == "("
-        if listed:
-            names = [t.column(x.text.strip("`")).name for x in r.parens() if x.text != ","]
+        name = r.name()
+        listed = [x.text.strip("`") for x in r.parens() if x.text != ","] if r.peek() == "(" else None
         if r.take("values"):
-            rows = D.constant_rows(r.rest())
-            if not rows or any(len(x) > len(names) or (listed and len(x) != len(names)) for x in rows):
-                raise SyntaxError_("a row has the wrong number of values")
-            width = max(map(len, rows))
-            # a short row takes the columns' defaults
-            rows = [x + [t.column(n).default for n in names[len(x) : width]] for x in rows]
-            data = pa.table({n: pa.array([x[i] for x in rows], pa.string()) for i, n in enumerate(names[:width])})
-            df = self.spark.createDataFrame(data)
-        else:
-            df = self._select(r.rest(), txn)
-            if len(df.columns) != len(names):
-                raise SyntaxError_("the query has the wrong number of columns")
-            df = df.toDF(*names)
-        return self._count(self.append(t.name, df, txn, upsert))
+            return self._insert_rows(upsert, name, listed, D.constant_rows(r.rest()), txn)
+        t = txn.get(name)
+        names = [t.column(x).name for x in listed] if listed else [c.name for c in t.columns]
+        df = self._select(r.rest(), txn)
+        if len(df.columns) != len(names):
+            raise SyntaxError_("the query has the wrong number of columns")
+        return self._count(self.append(t.name, df.toDF(*names), txn, upsert))
+
+    def _insert_rows(self, upsert: bool, name: str, listed: list[str] | None, rows: list[list[str | None]], txn: Transaction) -> DataFrame:
+        t = txn.get(name)
+        names = [t.column(x).name for x in listed] if listed else [c.name for c in t.columns]
+        if not rows or any(len(x) > len(names) or (listed and len(x) != len(names)) for x in rows):
+            raise SyntaxError_("a row has the wrong number of values")
+        width = max(map(len, rows))
+        # a short row takes the columns' defaults
+        rows = [x if len(x) == width else x + [t.column(n).default for n in names[len(x) : width]] for x in rows]
+        data = pa.table({n: pa.array([x[i] for x in rows], pa.string()) for i, n in enumerate(names[:width])})
+        return self._count(self.append(t.name, self.spark.createDataFrame(data), txn, upsert))
 
     def _where(self, tokens: list[D.Token]) -> str:
         return D.render(D.to_spark(tokens, "")) if tokens else "true"

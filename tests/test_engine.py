@@ -141,3 +141,19 @@ def test_generated_names(engine, item, name):
 
 def test_names_without_a_rule_stay(engine):
     assert engine.sql("select case when true then 1 end, 7 + 1 as x, (select 2) + 0").columns[1] == "x"
+
+
+def test_long_inserts_of_numbers(engine, monkeypatch):
+    from larkspur import dialect
+
+    monkeypatch.setattr(dialect, "LONG_INSERT", 0)
+    plain = dialect.number_insert("INSERT INTO t (id, v) values (1,-2), ( +3 , null ),(4,.5);")
+    assert plain == (False, "t", ["id", "v"], [["1", "-2"], ["3", None], ["4", ".5"]])
+    for text in ("insert into t values (1, 'a')", "insert into t values (1,), (2)", "insert into t values ((1), 2)", "insert into t values (1) (2)", "insert into t values (1 2)", "insert into t select 1", "insert into t values (1); select 1", "insert into t values ()", "insert into t values (1-2)"):
+        assert dialect.number_insert(text) is None
+    engine.sql("create table t (id int primary key, v int default 7)")
+    assert engine.sql("insert into t values (1, 2), (2, null), (3)").first()[0] == 3
+    assert engine.sql("insert overwrite t (v, id) values (5, 1)").first()[0] == 1
+    with pytest.raises(ConstraintError):
+        engine.sql("insert into t values (9, 9), (1, 1)")
+    assert sorted(map(tuple, engine.sql("select * from t").collect())) == [(1, 5), (2, None), (3, 7)]

@@ -40,7 +40,7 @@ from larkspur.llm import kernel as K
 from larkspur.llm.labelled import fold
 from larkspur.llm.shared import map_array, materialize, put_arrays, put_bytes, release, shared_dir
 
-CHUNK = 4 << 20
+CHUNK = 3 << 20
 VOCABULARY_ROWS = 1 << 18  # words of a vocabulary file, about
 FILE_TOKENS, MOST_TOKENS = 1 << 19, 1 << 24  # tokens of a bigram file, about: as few as make WAVES files for each core
 WAVES = 32
@@ -103,14 +103,26 @@ def search(x: np.ndarray, low: np.ndarray, end: np.ndarray, wanted: np.ndarray)
     return low, hit[x[low[hit]] == wanted[hit]]
 
 
-def pack(x: np.ndarray, dtype: type = np.int64) -> bytes:
-    """Byte planes: those of small numbers are zeros, which the shuffle's compression removes."""
-    return np.ascontiguousarray(x.astype(dtype).view(np.uint8).reshape(len(x), -1).T).tobytes()
-
-
-def unpack(data: bytes, dtype: type = np.int64) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+def pack(x: np.ndarray) -> bytes:
+    """Numbers from 0 as the first, then byte planes of the others, as many as the largest needs."""
+    if not len(x):
+        return b""
+    x = x.astype(np.int64)
+    first = x[:1].copy()
+    x[0] = 0
+    width = max(1, -(-int(x.max()).bit_length() // 8))
+    return bytes([width]) + first.tobytes() + np.ascontiguousarray(x.view(np.uint8).reshape(len(x), 8)[:, :width].T).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(data, np.uint8, offset=9).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    out = out.view(np.int64).ravel()
+    out[0] = np.frombuffer(data, np.int64, 1, 1)[0]
+    return out
 
 
 def keyed(*pairs: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
@@ -129,7 +141,7 @@ def keyed(*pairs: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
 def _merge(a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct pairs, and their counts added up."""
     keys = keyed((a, b))[0]
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     first = order[at]
@@ -142,12 +154,32 @@ def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct pairs, and of each pair its place among them."""
-    _, first, at = np.unique(keyed((a, b))[0], return_index=True, return_inverse=True)
+    keys = keyed((a, b))[0]
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+    del keys
+    at = np.empty(len(a), np.int64)
+    at[order] = np.cumsum(new) - 1
+    first = order[new]
     return a[first], b[first], at
 
 
 def _blob(a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    return pack(np.diff(a, prepend=0)), pack(b), pack(counts, np.uint32)
+    """Sorted pairs as differences: of the first numbers, and of second numbers under one first."""
+    step, more = np.diff(a, prepend=0), np.diff(b, prepend=0)
+    new = step != 0
+    more[new] = b[new]
+    return pack(step), pack(more), pack(counts)
+
+
+def _pairs_of_blob(k: bytes, l: bytes) -> tuple[np.ndarray, np.ndarray]:
+    step, more = unpack(k), unpack(l)
+    new = step != 0
+    if len(new):
+        new[0] = True
+    at, run = np.flatnonzero(new), np.cumsum(more)
+    return np.cumsum(step), run - np.repeat(run[at] - more[at], np.diff(np.append(at, len(run))))
 
 
 _BLOBS = [("k", pa.binary()), ("l", pa.binary()), ("c", pa.binary())]
@@ -157,7 +189,7 @@ def _merge_blobs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs and counts of a file's blobs; repeated pairs are added up on the way."""
     held, size = [(np.zeros(0, np.int64),) * 3], 0
     for k, l, c in zip(t["k"], t["l"], t["c"], strict=True):
-        held.append((np.cumsum(unpack(k.as_py())), unpack(l.as_py()), unpack(c.as_py(), np.uint32).astype(np.int64)))
+        held.append((*_pairs_of_blob(k.as_py(), l.as_py()), unpack(c.as_py())))
         size += len(held[-1][0])
         if size > MERGE:
             held = [_merge(*map(np.concatenate, zip(*held, strict=True)))]
@@ -422,7 +454,7 @@ def _write_trigrams(model: Model):
             n1, n2 = (np.bincount(context[counts == k], minlength=n) for k in (1, 2))
             behind = starts - starts[::16].repeat(16)[: n + 1]
             put_sections(f"{model.folder}/trigrams-{file}", starts[::16].astype(np.uint32), *small(behind), *small(n1), *small(n2), third.astype(model.word), *small(counts))
-            rows = [(file // GROUP, 1, b"", b"", pack(np.bincount(np.minimum(counts, 5), minlength=6)[1:], np.uint32))]
+            rows = [(file // GROUP, 1, b"", b"", pack(np.bincount(np.minimum(counts, 5), minlength=6)[1:]))]
             if len(third):
                 left, right, c = _counted(model.pairs_of(file)[2][context].astype(np.int64), third)
                 group = model.file_of(left, right) // GROUP
@@ -440,7 +472,7 @@ def _write_continuations(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, t in _runs(batches, "grp"):
             kind = t["kind"].to_numpy()
-            seen = sum(unpack(x.as_py(), np.uint32).astype(np.int64) for x in t.filter(pa.array(kind == 1))["c"])
+            seen = sum(unpack(x.as_py()) for x in t.filter(pa.array(kind == 1))["c"])
             left, right, counts = _merge_blobs(t.filter(pa.array(kind == 0)))
             rows = [(group * GROUP, -1, 6, pack(np.arange(5)), pack(seen))]
             for file in range(group * GROUP, min(group * GROUP + GROUP, model.files)):

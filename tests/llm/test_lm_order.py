@@ -69,6 +69,9 @@ def test_pairs_of_any_size():
         assert (left[at] == x).all() and (right[at] == y).all()
         one, two = lmscore.keyed((x, y), (x[:30], y[:30]))
         assert (one[:30] == two).all() and (np.argsort(one, kind="stable") == np.lexsort((y, x))).all()
+        assert all((p == q).all() for p, q in zip(lmscore._pairs_of_blob(*lmscore._blob(left, right, n)[:2]), (left, right)))
+    for x in ([], [0], [5], [1 << 62, 0, 255], [0, 256, 1 << 40, 7]):
+        assert lmscore.unpack(lmscore.pack(np.array(x, np.int64))).tolist() == x
     none = np.zeros(0, np.int64)
     assert [len(k) for k in lmscore.keyed((none, none))] == [0] and len(lmscore._counted(none, none)[2]) == 0
 

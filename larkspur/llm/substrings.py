@@ -423,10 +423,10 @@ def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def remove_from_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with repeated spans cut from the text; texts that lose nothing stay as they are."""
-    rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    safe = docs.withColumnsRenamed({c: f"k_{c}" for c in rest}).withColumn("k_", F.col(text_col))
-    out = remove_repeats(safe, id_col, text_col, window, True, (*(f"k_{c}" for c in rest), "k_"))
-    out = out.select(id_col, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("k_")).alias(text_col), *(F.col(f"k_{c}").alias(c) for c in rest))
+    rest = {c: f"k{n}" for n, c in enumerate(docs.columns) if c not in (id_col, text_col)}
+    safe = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("input"), F.col(text_col).alias("whole"), *(F.col(c).alias(k) for c, k in rest.items()))
+    out = remove_repeats(safe, "doc", "input", window, True, ("whole", *rest.values()))
+    out = out.select(F.col("doc").alias(id_col), F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("whole")).alias(text_col), *(F.col(k).alias(c) for c, k in rest.items()))
     return out.select(*docs.columns)
 
 

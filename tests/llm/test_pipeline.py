@@ -107,3 +107,20 @@ def test_oracles(spark):
         names = [d[0] for d in result.description]
         assert sorted(names) == sorted(df.columns), name
         assert sorted(map(tuple, df.select(*names).collect())) == sorted(result.fetchall()), name
+
+
+def test_stages_take_any_table(spark):
+    """Nulls in every column, rows that repeat, ids that repeat, and columns named like those that stages use inside."""
+    from pyspark.sql import functions as F
+
+    rows = [*make(3, 40), (None, None, None, None, None), (None, "lone words without an id", None, None, None), (None, "lone words without an id", None, None, None), (7, "", "en", None, 0), (7, None, "en", "", None)]
+    docs = frame(spark, rows, True).withColumns({c: F.lit(c) for c in ("_id", "_tag", "id_0", "tag_0", "k_", "k_lang", "c0", "hits", "copy_of", "text_", "rep", "rest", "draw")})
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, FOLDER)
+        if name != "mixing":
+            assert out.columns == docs.columns, name
+        got = out.collect()
+        assert 0 < len(got) <= len(rows) and all(r["_id"] == "_id" and r["k_lang"] == "k_lang" for r in got), name
+        if name == "ngram_jaccard_join":
+            assert sum(r.text == "lone words without an id" for r in got) == 1
+            assert max(Counter((r.doc_id, r.text) for r in got if r.doc_id is not None).values()) == 1

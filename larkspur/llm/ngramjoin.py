@@ -300,6 +300,28 @@ def ngram_join(documents: DataFrame) -> DataFrame:
     return near_copies(documents).select(F.col("id").alias("doc_id"), "class_id", "n_links")
 
 
+def _pair_hash(batch: pa.RecordBatch, own: str, tag: str) -> np.ndarray:
+    return K.mix(K.mix(K.longs(batch[own]).view(np.uint64), 9) ^ K.longs(batch[tag]).view(np.uint64), 10)
+
+
+def _pair_keys(own: str, tag: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_pair_hash(batch, own, tag).view(np.int64))], names=["h"])
+
+    return run
+
+
+def _pairs_in(bitmap: str, own: str, tag: str, inside: bool):
+    """Rows whose id and tag may be in the bitmap, or are not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(bitmap, _pair_hash(batch, own, tag)) == inside))
+
+    return run
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document of each class: that with the least id (null ids come last), of those the one with the least tag
     of its text. Of rows with equal id and text one stays. Any column name is taken."""
@@ -313,6 +335,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     twice = found.groupBy(own, tag).count().where(f"count > 1 AND {own} != {last}").select(own, tag)
     empty = found.where(f"{own} = {last} AND n_links > 0").groupBy(own, tag).count().where("count > 1").select(own, tag)
     twice = materialize(twice.union(empty), shared_dir(spark), "twice")
-    rows = rows.join(gone, [own, tag], "left_anti")
-    once = rows.join(twice, [own, tag], "left_anti")
-    return once.unionByName(rows.join(twice, [own, tag], "left_semi").dropDuplicates([own, tag])).select(*docs.columns)
+    # only rows that may go, or may be there twice, are shuffled with their texts
+    keys = gone.union(twice).mapInArrow(_pair_keys(own, tag), "h long")
+    bitmap = write_bitmap(keys, "h", gone.count() + twice.count(), f"{shared_dir(spark)}/gone.bits")
+    some = rows.mapInArrow(_pairs_in(bitmap, own, tag, True), rows.schema).join(gone, [own, tag], "left_anti")
+    some = materialize(some, shared_dir(spark), "some")
+    once = rows.mapInArrow(_pairs_in(bitmap, own, tag, False), rows.schema).unionByName(some.join(twice, [own, tag], "left_anti"))
+    return once.unionByName(some.join(twice, [own, tag], "left_semi").dropDuplicates([own, tag])).select(*docs.columns)

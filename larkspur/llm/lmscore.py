@@ -3,7 +3,7 @@ arrays in the shared folder and memory-mapped by the workers that score.
 
 Steps, all sizes following the corpus:
 
-1. Words of the training documents are counted by two hashes, 127 bits together. The vocabulary is written as sorted hash
+1. Words of the training documents are counted by two hashes, 94 bits together. The vocabulary is written as sorted hash
    arrays, a file for each range of hashes; a word's number is its place in that order.
 2. Bigrams (with a start and an end token for each text) are counted by the numbers of both words. A pair's file follows
    from the words' cumulated counts, so that files hold alike many tokens, a frequent first word is spread over several
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import kernel as K
 from larkspur.llm.labelled import fold
-from larkspur.llm.shared import map_array, materialize, put_arrays, put_bytes, release, shared_dir
+from larkspur.llm.shared import discard, map_array, materialize, put_arrays, put_bytes, release, shared_dir
 
 CHUNK = 3 << 20
 VOCABULARY_ROWS = 1 << 18  # words of a vocabulary file, about
@@ -207,7 +207,7 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     g, real = np.zeros(len(u), np.int64), np.flatnonzero(u != END)
     word = at[real] - (np.searchsorted(first, at[real], "right") - 1)
     if len(word):
-        g[real] = K.hashes(K.LOWER[buf], w.starts[word], w.ends[word], 1).view(np.int64)
+        g[real] = (K.hashes(K.LOWER[buf], w.starts[word], w.ends[word], 1) >> np.uint64(33)).astype(np.int64)
     return u, g, inverse, first
 
 
@@ -244,7 +244,7 @@ def _write_words(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, t in _runs(batches, "part"):
             h, g, c = (t[x].to_numpy() for x in ("h", "g", "c"))
-            put_arrays(f"{folder}/words-{part}", h=h, g=g, c=c, sum=np.cumsum(c) - c)
+            put_arrays(f"{folder}/words-{part}", h=h, g=g.astype(np.int32), c=c, sum=np.cumsum(c) - c)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([len(h)], pa.int64()), pa.array([c.sum()], pa.int64())], names=["part", "n", "tokens"])
 
     return run
@@ -295,7 +295,7 @@ class Model:
             p = int(part[a])
             n = int(self.base[p + 1] - self.base[p])
             if n:
-                known, other = (_map(f"{self.folder}/words-{p}.{x}", np.int64) for x in "hg")
+                known, other = _map(f"{self.folder}/words-{p}.h", np.int64), _map(f"{self.folder}/words-{p}.g", np.int32)
                 at = np.searchsorted(known, h[a:b])
                 todo = np.arange(b - a)
                 while len(todo := todo[at[todo] < n]) and len(todo := todo[known[at[todo]] == h[a + todo]]):
@@ -564,6 +564,7 @@ def build(train: DataFrame, folder: str, order: int = 3) -> Model:
     for r in found:
         sizes[r.part], totals[r.part] = r.n, r.tokens
     documents = words.where((F.col("h") == int(START)) & (F.col("g") == 0)).first()
+    discard(spark, f"{folder}/words")  # the arrays have it all
     model = Model(folder, 63 - bits, np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(totals)]), documents.c if documents else 0, order)
     if not n:
         return model
@@ -592,6 +593,8 @@ def build(train: DataFrame, folder: str, order: int = 3) -> Model:
         sums = sums.union(lower)
     seen = sums.where("part >= 0").repartition("part").sortWithinPartitions("part").mapInArrow(_write_sums(model), "part long, n1 long, n2 long, n3 long, n4 long, more long")
     seen = list(seen.agg(*(F.sum(c) for c in ("n1", "n2", "n3", "n4", "more"))).first())
+    for name in ("sums", "lower"):
+        discard(spark, f"{folder}/{name}")
     model.level2, model.level1 = discounts(*of_counts[:4].tolist()), discounts(*seen[:4])
     model.continuations = [seen[0], seen[1], sum(seen[2:])]
     return model

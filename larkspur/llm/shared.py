@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.scratch import scratch_dir as shared_dir
 
-__all__ = ["get_bytes", "map_array", "materialize", "prepare", "put_arrays", "put_bytes", "release", "shared_dir", "ship"]
+__all__ = ["discard", "get_bytes", "map_array", "materialize", "prepare", "put_arrays", "put_bytes", "release", "shared_dir", "ship"]
 
 
 def materialize(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def materialize(df: DataFrame, folder: str, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def discard(spark: SparkSession, uri: str) -> None:
+    """Removes a table that nothing needs any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished phases."""
     gc.collect()

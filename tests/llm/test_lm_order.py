@@ -81,7 +81,7 @@ def test_words_that_share_the_first_hash(tmp_path):
 
     from larkspur.llm.shared import put_arrays
 
-    h, g = np.array([3, 7, 7, 7, 9]), np.array([1, -5, 2, 8, 1])
+    h, g = np.array([3, 7, 7, 7, 9]), np.array([1, 0, 2, 8, 1], np.int32)
     put_arrays(f"file://{tmp_path}/words-0", h=h, g=g)
     model = lmscore.Model(f"file://{tmp_path}", 63, np.array([0, 5]), np.array([0, 5]), 1)
-    assert model.look_up(np.array([3, 3, 7, 7, 7, 7, 9, 12]), np.array([1, 2, 8, -5, 9, 2, 1, 1])).tolist() == [0, -1, 3, 1, -1, 2, 4, -1]
+    assert model.look_up(np.array([3, 3, 7, 7, 7, 7, 9, 12]), np.array([1, 2, 8, 0, 9, 2, 1, 1])).tolist() == [0, -1, 3, 1, -1, 2, 4, -1]
